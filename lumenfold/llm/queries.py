@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curve_pack, token_store
+from . import curve_pack, simhash, token_store
 from .common import table
 
 
+def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_pack.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -18,5 +22,5 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store_query(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_curve_packing, op6_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash_variants, op5_curve_packing, op6_token_store)}
 ORACLE_SQL: dict[str, str] = {}
