@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curve_pack, simhash, token_store, warc
+from . import curve_pack, simhash, token_store, url_filter, warc
 from .common import table
 
 
@@ -26,7 +26,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store_query(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_segments, op4_simhash_variants, op5_curve_packing, op6_token_store)}
+def op9_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_query(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_segments, op4_simhash_variants, op5_curve_packing, op6_token_store, op9_url_trees)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_segments": """
         WITH p AS (
