@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curve_pack, rule_ensemble, simhash, token_store, url_filter, warc
+from . import curve_pack, edit_match, rule_ensemble, simhash, token_store, url_filter, warc
 from .common import table
 
 
@@ -30,11 +30,15 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.quality_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_edit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_match.decontamination_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_query(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_segments, op4_simhash_variants, op5_curve_packing, op6_token_store, op7_rule_ensemble, op9_url_trees)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_segments, op4_simhash_variants, op5_curve_packing, op6_token_store, op7_rule_ensemble, op8_edit_match, op9_url_trees)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_segments": """
         WITH p AS (
