@@ -117,17 +117,21 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 6
     return float(bias), w
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4) -> Ensemble:
-    """Rules for labels ``y``. Without both labels there are no rules, and all score the smoothed share of label 1."""
-    model = boost(x, y, rounds=25, depth=3, rate=0.4, least=3)
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 3e-3) -> Ensemble:
+    """Rules for labels ``y``: the lasso chooses them, and a second fit with a slight penalty frees the chosen from its shrinkage.
+
+    Without both labels there are no rules, and all score the smoothed share of label 1.
+    """
+    model = boost(x, y, rounds=15, depth=3, rate=0.4, least=3)
     rules = paths(model)
     if not rules:
         return Ensemble(model.bias, [])
     held = np.column_stack([r.holds(x) for r in rules]).astype(float)
     _, once = np.unique(held, axis=1, return_index=True)
     rules, held = [rules[i] for i in sorted(once)], held[:, sorted(once)]
-    bias, w = lasso_logistic(held, y, penalty)
-    return Ensemble(bias, [(float(a), r) for a, r in zip(w, rules, strict=True) if a])
+    chosen = np.flatnonzero(lasso_logistic(held, y, penalty)[1])
+    bias, w = lasso_logistic(held[:, chosen], y, penalty / 30) if len(chosen) else (model.bias, [])
+    return Ensemble(bias, [(float(a), rules[i]) for a, i in zip(w, chosen, strict=True) if a])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
