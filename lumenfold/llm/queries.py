@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curve_pack, edit_match, gru_lm, rule_ensemble, simhash, token_store, url_filter, warc
+from . import curve_pack, edit_match, gru_lm, jpeg, rule_ensemble, simhash, token_store, url_filter, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_query(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_query(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.language_model_query(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_segments, op4_simhash_variants, op5_curve_packing, op6_token_store, op7_rule_ensemble, op8_edit_match, op9_url_trees, op10_gru_lm)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_segments, op3_jpeg_media, op4_simhash_variants, op5_curve_packing, op6_token_store, op7_rule_ensemble, op8_edit_match, op9_url_trees, op10_gru_lm)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_segments": """
         WITH p AS (
