@@ -86,16 +86,13 @@ def _encode(path: str | None, end_id: int):
         import zstandard
 
         enc, pack = encoder(path), zstandard.ZstdCompressor(level=1)
-        tail = end_id.to_bytes(enc.width, "little")
         for batch in batches:
-            n, packed, vectors = [], [], []
-            for text in batch.column(2):
-                ids = enc.text(text.as_py()) + tail
-                n.append(len(ids) // enc.width)
-                vectors.append(hashed_vector(np.frombuffer(ids, enc.dtype)[:-1]))
-                packed.append(pack.compress(ids))
-            key = hilbert_key(curve_points(np.array(vectors).reshape(-1, HASHED))) if n else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+            for first, ids, bounds in enc.column(batch.column(2), end_id):
+                n = np.diff(bounds)
+                own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                key = hilbert_key(curve_points(np.array([hashed_vector(x[:-1]) for x in own])))
+                columns = [batch.column(0).slice(first, len(n)), batch.column(1).slice(first, len(n)), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array([pack.compress(x.tobytes()) for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 

@@ -31,7 +31,7 @@ DIGEST = 16
 END_ID = 1
 
 
-def chunk_digest(ids: bytes) -> bytes:
+def chunk_digest(ids: bytes | memoryview) -> bytes:
     return hashlib.blake2b(ids, digest_size=DIGEST).digest()
 
 
@@ -81,21 +81,15 @@ class Cutter:
         return out
 
 
-#: Batches are cut over concatenated ids; this many ids at once bounds the memory of that.
-_AT_ONCE = 2_000_000
-
-
 def _encode(path: str | None, cutter: Cutter, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         enc, pack, seen = encoder(path), zstandard.ZstdCompressor(level=1), set()
-        tail, width = end_id.to_bytes(enc.width, "little"), enc.width
+        width = enc.width
 
-        def flush(keys: list, streams: list[bytes]) -> pa.RecordBatch:
-            bounds = np.cumsum([0, *(len(s) // width for s in streams)])
-            whole = b"".join(streams)
-            marks = cutter.marks(np.frombuffer(whole, enc.dtype))
+        def recipes(keys: list, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+            marks, whole = cutter.marks(ids), memoryview(ids.tobytes())
             at = np.searchsorted(marks, bounds)
             rows: dict[str, list] = {k: [] for k in ("doc_id", "rid", "n_tokens", "digests", "lengths", "root", "fresh")}
             for i, (doc_id, rid) in enumerate(keys):
@@ -117,16 +111,9 @@ def _encode(path: str | None, cutter: Cutter, end_id: int):
             return pa.RecordBatch.from_pydict(rows, schema=_ENCODED)
 
         for batch in batches:
-            keys, streams, size = [], [], 0
-            for doc_id, rid, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys.append((doc_id, rid))
-                streams.append(enc.text(text) + tail)
-                size += len(streams[-1]) // width
-                if size >= _AT_ONCE:
-                    yield flush(keys, streams)
-                    keys, streams, size = [], [], 0
-            if keys:
-                yield flush(keys, streams)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for first, ids, bounds in enc.column(batch.column(2), end_id):
+                yield recipes(keys[first : first + len(bounds) - 1], ids, bounds)
 
     return run
 
