@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curve_pack, edit_match, gru_lm, jpeg, rule_ensemble, simhash, token_store, url_filter, warc
+from . import curve_pack, edit_match, gru_lm, jpeg, rule_ensemble, simhash, site_tree, token_store, url_filter, warc
 from .common import table
 
 
+def op1_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.site_tree_query(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_query(spark, table(spark, sf_dir, "pages"))
 
@@ -46,7 +50,7 @@ def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.language_model_query(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_segments, op3_jpeg_media, op4_simhash_variants, op5_curve_packing, op6_token_store, op7_rule_ensemble, op8_edit_match, op9_url_trees, op10_gru_lm)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_site_tree, op2_warc_segments, op3_jpeg_media, op4_simhash_variants, op5_curve_packing, op6_token_store, op7_rule_ensemble, op8_edit_match, op9_url_trees, op10_gru_lm)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_segments": """
         WITH p AS (
