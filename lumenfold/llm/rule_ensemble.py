@@ -168,13 +168,13 @@ def quality_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Da
     return score_documents(docs, labels)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with all their columns.
 
-    Statistics for the fit are made of the labelled rows alone; the fitted column then judges every
-    row in place, so no row is matched by its id.
+    Rows are stored with their statistics first: a filter over them in one plan would make Spark work
+    out each statistic again for every rule that names it. No row is matched by its id.
     """
-    known = docs.select("doc_id", "text").join(training_labels(labels, sample), "doc_id")
-    model = train(with_statistics(known, F.col("quality")), sample)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    return with_statistics(docs, row).where(model.column(STATISTICS) >= threshold).select("_row.*")
+    rows = stored(with_statistics(docs, row), f"{path or scratch(docs.sparkSession)}/rows")
+    model = train(rows.select("doc_id", *STATISTICS).join(training_labels(labels, sample), "doc_id"), sample)
+    return rows.where(model.column(STATISTICS) >= threshold).select("_row.*")
