@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arabic as ar
@@ -32,8 +32,9 @@ def inverse_frequency(counts: DataFrame, n_passages: int) -> DataFrame:
 def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """(row_idx, term, w): sublinear frequency times idf, each passage of unit length. Long form: nothing is ever dense."""
     raw = counts.join(idf.select("term", "idf"), "term").select("row_idx", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("row_idx").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "row_idx").select("row_idx", "term", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(0.0).alias("w"))
+    # One passage's terms are few, so its length is summed where its rows are; no second pass.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_idx")))
+    return raw.withColumn("norm", norm).select("row_idx", "term", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(0.0).alias("w"))
 
 
 def stem_postings(passages: DataFrame) -> DataFrame:
@@ -70,6 +71,13 @@ def alignment(indexed: DataFrame, passages: DataFrame) -> DataFrame:
     return found.select((F.col("n_diff") == 0).alias("aligned"), text.alias("mismatch"))
 
 
+def _kept(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """``df`` as a stored table, sorted by ``by`` if given, so that a filter on it reads few row groups."""
+    rows = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class PassageIndex:
     """All layers of a corpus. ``problem`` says why the semantic layer is off, if it was asked for."""
@@ -93,7 +101,11 @@ class PassageIndex:
         """
         n = passages.count()
         counts = term_counts(passages, stop_words)
+        if path:
+            counts = _kept(counts, f"{path}/counts")
         idf = inverse_frequency(counts, n)
+        if path:
+            idf = _kept(idf, f"{path}/idf", "term")
         index = PassageIndex(passages, n, idf, weights(counts, idf), stem_postings(passages), stop_words=stop_words)
         if "arabic" in passages.columns:
             index.arabic = arabic_postings(passages)
@@ -109,13 +121,10 @@ class PassageIndex:
 
     def saved(self, path: str) -> PassageIndex:
         def keep(df: DataFrame | None, name: str, by: str) -> DataFrame | None:
-            if df is None:
-                return None
-            df.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-            return df.sparkSession.read.parquet(f"{path}/{name}")
+            return None if df is None else _kept(df, f"{path}/{name}", by)
 
         return PassageIndex(
-            keep(self.passages, "passages", "row_idx"), self.n_passages, keep(self.idf, "idf", "term"), keep(self.weights, "weights", "term"), keep(self.stems, "stems", "stem"),
+            keep(self.passages, "passages", "row_idx"), self.n_passages, self.idf, keep(self.weights, "weights", "term"), keep(self.stems, "stems", "stem"),
             keep(self.arabic, "arabic", "form"), keep(self.vectors, "vectors", "row_idx"), self.problem, self.stop_words,
         )
 

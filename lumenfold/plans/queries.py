@@ -6,7 +6,6 @@ commentary, ``embeddings`` for the vector index, ``events`` for requests.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from ..functions import arabic as ar
 from ..functions import text as tx
 from ..operators import answer, etl, index, search, understand
 from ..sources import passages as src
+from ..session import scratch
 from ..streaming import limiter
 from . import sql
 
@@ -64,14 +64,14 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def retriever(spark: SparkSession, d: str) -> search.Retriever:
     """Vectors cover the first passages only, so the index is put together without the check of refs; the query's vector is that of passage 7."""
-    ix = index.PassageIndex.build(corpus(spark, d))
+    ix = index.PassageIndex.build(corpus(spark, d), path=scratch(spark))
     ix.vectors = index.unit_vectors(vectors(spark, d)).select("row_idx", "embedding")
     own = vectors(spark, d).where("row_idx = 7").first()["embedding"]
     return search.Retriever(ix, lambda _: list(own))
 
 
 def lexical(spark: SparkSession, d: str) -> search.Retriever:
-    return search.Retriever(index.PassageIndex.build(corpus(spark, d)))
+    return search.Retriever(index.PassageIndex.build(corpus(spark, d), path=scratch(spark)))
 
 
 # Text functions
@@ -235,7 +235,7 @@ _LEXICAL = "WITH " + sql.tfidf() + ", " + sql.query_scores(QUESTION) + """,
 
 @query("WITH " + sql.tfidf() + ", " + sql.query_scores(QUESTION) + " SELECT id AS row_idx, round(tfidf, 6) AS tfidf FROM tfidf_score ORDER BY tfidf DESC, id DESC LIMIT 10")
 def tfidf_topk(spark, d):
-    ix = index.PassageIndex.build(corpus(spark, d))
+    ix = index.PassageIndex.build(corpus(spark, d), path=scratch(spark))
     s = search.tfidf_scores(ix, search.query_terms(spark, QUESTION))
     return s.orderBy(F.desc("tfidf"), F.desc("row_idx")).limit(10).select("row_idx", F.round("tfidf", 6).alias("tfidf"))
 
@@ -520,8 +520,7 @@ def rate_limit_stream(spark, d):
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     requests = events.select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
     name = f"limited_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    q = limiter.limited_stream(requests, _LIMIT, _WINDOW, forget=False).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    q = limiter.limited_stream(requests, _LIMIT, _WINDOW, forget=False).writeStream.format("memory").queryName(name).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or, where that is unset, in this machine's temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/lumenfold-scratch"
+    return f"{base.rstrip('/')}/lumenfold/{uuid.uuid4().hex}"
+
+
 def create_session(app: str = "lumenfold", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; ``conf`` (dots as underscores twice) overrides."""
     b = SparkSession.builder.appName(app)
