@@ -33,7 +33,10 @@ STOP_WORDS = (
 ).split()
 # Fixed formats.
 CITATION = r"\[(\d+):(\d+)\]"
-HEADER_LINE = r"^VERSES?\s+[0-9A-Za-z&\-–, ]+$"
+PAGE_FOOTER = r"^\d+\s+out\s+of\s+\d+$"
+FOOTNOTE_LINE = r"^\d{1,3}\s+[A-Z]"
+REPETITION = r"(?i)^\(REPEATED"
+GLUED_NOTE = r"(?<=[A-Za-z])\d{1,3}(?=[\s.,;:!?'‘’\"\)\]]|$)"
 COMMENTARY_BUDGET = 12_000
 CUT_NOTE = "\n\n[commentary truncated for length]"
 
@@ -116,7 +119,7 @@ def is_furniture(line: Column, page_header: str | None = None) -> Column:
     """Whether a line is page furniture: blank, the page header (how its lines begin), a page footer, a footnote, a repetition note."""
     s = stripped(line)
     header = s.startswith(page_header) if page_header else F.lit(False)
-    return (s == "") | header | s.rlike(r"^\d+\s+out\s+of\s+\d+$") | s.rlike(r"^\d{1,3}\s+[A-Z]") | s.rlike(r"(?i)^\(REPEATED")
+    return (s == "") | header | s.rlike(PAGE_FOOTER) | s.rlike(FOOTNOTE_LINE) | s.rlike(REPETITION)
 
 
 def without_furniture(text: Column, page_header: str | None = None) -> Column:
@@ -133,7 +136,7 @@ def clean(text: Column, keep_citations: bool = False) -> Column:
     t = stripped(F.array_join(latin_lines(text), " "))
     if not keep_citations:
         t = stripped(F.regexp_replace(t, r"\[\d+:\d+\]", ""))
-    t = F.regexp_replace(t, r"(?<=[A-Za-z])\d{1,3}(?=[\s.,;:!?'‘’\"\)\]]|$)", "")
+    t = F.regexp_replace(t, GLUED_NOTE, "")
     t = stripped(F.regexp_replace(t, r"\s+", " "))
     t = F.regexp_replace(t, r"\s+([.,;:!?])", "$1")
     return F.regexp_replace(t, r"^[ .]+|[ .]+$", "")
