@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or, where that is unset, in this machine's temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/lumenfold-scratch"
+    """A new folder that the driver and all executors share, under ``spark.checkpoint.dir``.
+
+    Where that is unset (tests, a laptop), a folder of this machine takes its place and goes when the
+    process ends.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_folder()}"
     return f"{base.rstrip('/')}/lumenfold/{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="lumenfold-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def create_session(app: str = "lumenfold", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; ``conf`` (dots as underscores twice) overrides."""
     b = SparkSession.builder.appName(app)
