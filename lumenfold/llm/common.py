@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch
+
+__all__ = ["TEXT_ROWS", "running_starts", "scratch", "stored", "table", "tidy"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share.
+#: Rows of whole texts in one Arrow batch; batches lie outside of the heap, twice for each task.
+TEXT_ROWS = 2000
 
-    It lies under ``spark.checkpoint.dir``. Where that is unset (tests, a laptop), a temporary
-    folder of this machine takes its place.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
 
-        base = f"file://{tempfile.gettempdir()}/lumenfold-scratch"
-    return f"{base.rstrip('/')}/lumenfold/{uuid.uuid4().hex}"
+def stored(df: DataFrame, path: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in a shared folder and read it again: lineage ends here, and a lost executor costs nothing.
+
+    ``batch_rows`` holds for the Python operators of this one write.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, batch_rows)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as a table in a shared folder and read it again: lineage ends here, and a lost executor costs nothing."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives memory back when its task ends: a Python worker lives on, beside the tasks of later stages."""
 
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
 
-def int_or_null(name: str):
-    return F.col(name).cast("long").alias(name)
+    return wrapped
 
 
 def running_starts(df: DataFrame, order: list[str], size: str, path: str, start: str = "start") -> DataFrame:

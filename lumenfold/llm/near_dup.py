@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import TEXT_ROWS, scratch, stored, tidy
 from .simhash import components, fingerprint, fingerprint_links, shingle_hashes
 
 #: Bands of ROWS minwise hashes each: a pair at similarity 0.8 shares no band with a chance of 0.0002.
@@ -41,9 +41,8 @@ def minwise(h: np.ndarray) -> np.ndarray:
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("_text")
             rows: list[tuple] = []
-            for text in b.column(at):
+            for text in b.column(2):
                 every = shingle_hashes(text.as_py(), size)
                 h = np.unique(every)
                 m = minwise(h)
@@ -55,9 +54,7 @@ def _sketch(size: int):
                 rows.append((np.uint64(key).astype(np.int64), np.uint64(fingerprint(every)).astype(np.int64), len(h), bands.view(np.int64), (m >> np.uint64(56)).astype(np.uint8).tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(list(cols[3]), pa.list_(pa.int64())), pa.array(cols[4], pa.binary())]
-            kept = [c for i, c in enumerate(b.columns) if i != at]
-            names = [n for i, n in enumerate(b.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*kept, b.column(at), *made], names=[*names, "_text", "set", "fp", "n", "bands", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["_rid", "_id", "set", "fp", "n", "bands", "bytes"])
 
     return run
 
@@ -111,17 +108,17 @@ def distinct_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     """
     path = path or scratch(docs.sparkSession)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("_id"), row, F.col("text").cast("string").alias("_text"))
-    ddl = f"_rid long, _id long, _row {rows.schema['_row'].dataType.simpleString()}, _text string, set long, fp long, n long, bands array<long>, bytes binary"
-    kept = stored(rows.mapInArrow(_sketch(size), ddl), f"{path}/rows")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_rid"), row), f"{path}/rows")
+    texts = rows.select("_rid", F.col("_row.doc_id").cast("long").alias("_id"), F.col("_row.text").cast("string").alias("_text"))
+    kept = stored(texts.mapInArrow(tidy(_sketch(size)), "_rid long, _id long, set long, fp long, n long, bands array<long>, bytes binary"), f"{path}/sketches", TEXT_ROWS)
     order = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_rid")
     classes = stored(kept.groupBy("set").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), f"{path}/classes")
     pairs = stored(candidates(classes.select("set", "fp", "n", "bands", "bytes"), path, similarity), f"{path}/pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", F.col("first._rid").alias("_rid")), "set")
-    texts = stored(kept.select("_rid", "_text").join(wanted, "_rid").select("set", "_text"), f"{path}/texts")
+    texts = stored(texts.select("_rid", "_text").join(wanted, "_rid").select("set", "_text"), f"{path}/texts")
     compared = pairs.join(texts.select(F.col("set").alias("a"), F.col("_text").alias("text_a")), "a").join(texts.select(F.col("set").alias("b"), F.col("_text").alias("text_b")), "b")
-    links = stored(compared.select("a", "b", "text_a", "text_b").mapInPandas(_verified(size, similarity), "a long, b long"), f"{path}/similar")
+    links = stored(compared.select("a", "b", "text_a", "text_b").mapInPandas(tidy(_verified(size, similarity)), "a long, b long"), f"{path}/similar", TEXT_ROWS)
     groups = components(links, path)
     labelled = classes.join(groups.withColumnRenamed("node", "set"), "set", "left").select(F.coalesce("component", "set").alias("component"), "first")
     stay = labelled.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._rid").alias("_rid"))
-    return kept.select("_rid", "_row").join(stay, "_rid", "left_semi").select("_row.*")
+    return rows.join(stay, "_rid", "left_semi").select("_row.*")
