@@ -163,7 +163,8 @@ def fingerprint_links(fps: DataFrame, path: str, radius: int = 3) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("two segments with one bit left out find up to three differing bits")
-    sigs = _signatures(fps)
+    # Fingerprints are a few bytes each, so they come in few partitions; their 66 signatures each need more.
+    sigs = _signatures(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     key = ["slot", "sig"]
     groups = stored(sigs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("side").alias("least"), F.max("side").alias("most")).where("n > 1 and (least < most or slot in (0, 33))"), f"{path}/groups")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
