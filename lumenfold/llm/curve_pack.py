@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_starts, scratch, stored
+from .common import TEXT_ROWS, running_starts, scratch, stored, tidy
 from .tokens import encoder
 
 LENGTH, END_ID = 4096, 2
@@ -131,8 +131,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     """
     path = path or scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    ids = stored(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, rid long, key long, n long, ids binary"), f"{path}/ids")
+    ids = stored(rows.mapInArrow(tidy(_encode(tokenizer, end_id)), "doc_id long, rid long, key long, n long, ids binary"), f"{path}/ids", TEXT_ROWS)
     # Only keys and lengths are sorted; the ids meet their places in one join.
     places = running_starts(ids.select("key", "doc_id", "rid", "n"), ["key", "doc_id", "rid"], "n", f"{path}/order", "first")
     placed = ids.select("doc_id", "rid", "n", "ids").join(places.select("rid", "first"), "rid").select("doc_id", "rid", "n", "first", "ids")
-    return placed.mapInArrow(_cut(length, encoder(tokenizer).dtype), ", ".join(f"`{k}` long" for k in PIECE.names))
+    return placed.mapInArrow(tidy(_cut(length, encoder(tokenizer).dtype)), ", ".join(f"`{k}` long" for k in PIECE.names))

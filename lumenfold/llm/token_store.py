@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_starts, scratch, stored
+from .common import TEXT_ROWS, running_starts, scratch, stored, tidy
 from .tokens import encoder
 
 DIGEST = 16
@@ -130,7 +130,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     kept, in any order among themselves; nulls come first. An empty table gives an empty store.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    encoded = stored(rows.mapInArrow(_encode(tokenizer, cutter or Cutter(), end_id), _ENCODED_DDL), f"{path}/encoded")
+    encoded = stored(rows.mapInArrow(tidy(_encode(tokenizer, cutter or Cutter(), end_id)), _ENCODED_DDL), f"{path}/encoded", TEXT_ROWS)
     # A task lists each digest once, so a digest has at most one row for each task here.
     fresh = encoded.select(F.explode("fresh").alias("c")).select("c.*")
     stored(fresh.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")), f"{path}/chunks")

@@ -24,7 +24,7 @@ _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?*$%&#|()-"
 _PLAIN = f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$"
 _WORD = re.compile(f"[{_LETTERS}]+")
 #: Bytes of text that are encoded at once.
-_AT_ONCE = 8 << 20
+_AT_ONCE = 4 << 20
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -47,7 +47,7 @@ class WordEncoder:
     that came again, which bounds the memory and keeps frequent words.
     """
 
-    def __init__(self, path: str | None = None, most: int = 400_000):
+    def __init__(self, path: str | None = None, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path or tokenizer_path())
