@@ -6,6 +6,7 @@ All of them are built-in expressions, so they run inside the JVM and take part i
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,20 +47,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
 
 
+def _then(value: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of ``value``, which is worked out once however often the step names it."""
+    return F.transform(F.array(value), step)[0]
+
+
 def stem(word: Column) -> Column:
     """A light suffix-stripping stem.
 
     The prefix of the suffix pattern is lazy, so of all suffixes that leave three letters the longest
     goes; it is applied twice for stacked suffixes.
     """
-    size = F.length
-    w = F.when((size(word) > 5) & word.endswith("ly"), F.substring(word, F.lit(1), size(word) - 2)).otherwise(word)
-    w = F.when((size(w) > 3) & w.rlike("[^aeiou]y$"), F.concat(F.substring(w, F.lit(1), size(w) - 1), F.lit("i"))).otherwise(w)
-    strip = f"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$"
-    for _ in range(2):
-        w = F.regexp_replace(w, strip, "$1")
-    w = F.when((size(w) > 3) & w.endswith("e"), F.substring(w, F.lit(1), size(w) - 1)).otherwise(w)
-    return F.when(w.rlike(r"^..+([^aeioulsz])\1$"), F.substring(w, F.lit(1), size(w) - 1)).otherwise(w)
+    size, strip = F.length, f"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$"
+    but = lambda w, n: F.substring(w, F.lit(1), size(w) - n)
+    w = _then(word, lambda w: F.when((size(w) > 5) & w.endswith("ly"), but(w, 2)).otherwise(w))
+    w = _then(w, lambda w: F.when((size(w) > 3) & w.rlike("[^aeiou]y$"), F.concat(but(w, 1), F.lit("i"))).otherwise(w))
+    w = F.regexp_replace(F.regexp_replace(w, strip, "$1"), strip, "$1")
+    w = _then(w, lambda w: F.when((size(w) > 3) & w.endswith("e"), but(w, 1)).otherwise(w))
+    return _then(w, lambda w: F.when(w.rlike(r"^..+([^aeioulsz])\1$"), but(w, 1)).otherwise(w))
 
 
 def content_terms(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
