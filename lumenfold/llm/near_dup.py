@@ -4,7 +4,8 @@ Candidates come from two indexes over classes of documents with equal shingle se
 deletion-variant index, and, because texts at similarity 0.8 often differ in more than three
 fingerprint bits, bands of minwise hashes. Either only proposes; a candidate pair is linked if the
 Jaccard similarity of its whole shingle sets reaches the limit. In a group of equal bands each class
-meets two leaders of the group, never all its members.
+first meets two leaders of the group. A group that those links leave in several components is then
+compared whole: every pair of its members from different components, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .simhash import components, fingerprint, fingerprint_links, shingle_hashes
 BANDS, ROWS = 16, 4
 #: Share of equal minwise hashes under which a pair isn't compared; five deviations below 0.8.
 LEAST_EQUAL = 0.55
+#: A block of a group has about so many shingles and members at most; a task compares two blocks.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 250_000, 1000
 _MULTIPLIERS = np.random.default_rng(29).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,12 +84,18 @@ def _verified(size: int, similarity: float):
     return run
 
 
-def candidates(classes: DataFrame, path: str, similarity: float) -> DataFrame:
-    """a, b: pairs of classes (``classes``: set, fp, n, bands, bytes) that the two indexes propose and that sizes and minwise bytes allow."""
+def candidates(classes: DataFrame, path: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare first, and the groups that they may not join.
+
+    a, b: pairs of classes (``classes``: set, fp, n, bands, bytes) that the two indexes propose and
+    that sizes and minwise bytes allow. band, v, set, n: members of the groups of three or more classes
+    with an equal band, or (band BANDS) with fingerprints linked within three bits.
+    """
     me = F.struct("set", "n", "bytes")
     cells = stored(classes.select(me.alias("me"), F.posexplode("bands").alias("band", "v")), f"{path}/cells")
     leaders = cells.groupBy("band", "v").agg(F.count(F.lit(1)).alias("k"), F.min("me").alias("l0"), F.min_by("me", F.xxhash64("me.set", "band")).alias("l1")).where("k > 1")
-    near = cells.join(leaders, ["band", "v"]).select("me", F.explode(F.array("l0", "l1")).alias("other"))
+    members = stored(cells.join(leaders, ["band", "v"]), f"{path}/members")
+    near = members.select("me", F.explode(F.array("l0", "l1")).alias("other"))
     first = classes.groupBy("fp").agg(F.min(me).alias("lead"), F.count(F.lit(1)).alias("k"))
     same = classes.select("fp", me.alias("me")).join(first.where("k > 1"), "fp").select("me", F.col("lead").alias("other"))
     links = stored(fingerprint_links(first.select("fp"), f"{path}/variants"), f"{path}/fplinks")
@@ -97,7 +106,82 @@ def candidates(classes: DataFrame, path: str, similarity: float) -> DataFrame:
     pairs = pairs.where(F.least("me.n", "other.n") >= similarity * F.greatest("me.n", "other.n"))
     equal = F.size(F.filter(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda i: F.substring("me.bytes", i, F.lit(1)) == F.substring("other.bytes", i, F.lit(1))))
     distinct = pairs.groupBy(F.least("me.set", "other.set").alias("a"), F.greatest("me.set", "other.set").alias("b")).agg(F.first("me").alias("me"), F.first("other").alias("other"))
-    return distinct.where(equal >= LEAST_EQUAL * BANDS * ROWS).select("a", "b")
+    linked = components(links, f"{path}/fpgroups").select(F.col("node").alias("fp"), F.col("component").alias("v"))
+    prints = classes.select("fp", "set", "n").join(linked, "fp", "left").select(F.lit(BANDS).alias("band"), F.coalesce("v", "fp").alias("v"), "set", "n")
+    crowded = prints.groupBy("band", "v").agg(F.count(F.lit(1)).alias("k")).where("k > 2").select("band", "v")
+    groups = members.where("k > 2").select("band", "v", "me.set", "me.n").unionByName(prints.join(crowded, ["band", "v"]))
+    return distinct.where(equal >= LEAST_EQUAL * BANDS * ROWS).select("a", "b"), groups
+
+
+def spanning(components: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of components that have members (``sets``: distinct hashes, none empty) at the limit; what they join is what all such pairs join."""
+    _, label = np.unique(components, return_inverse=True)
+    n = np.array([len(s) for s in sets])
+    kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    # The member whose shingles most others have comes first: it may join them all at once.
+    order = np.argsort(-np.add.reduceat(np.bincount(at)[at], starts) / n, kind="stable")
+    most = np.bincount(label).argmax()
+    home = order[np.flatnonzero(label[order] == most)[-1]] if (label == most).sum() > 1 else order[-1]
+    mark, out = np.zeros(len(kinds), np.int32), []
+    for i in order:
+        # Of two members of different components one at least is never in that of ``home``, and meets the other here.
+        if label[i] == label[home]:
+            if (label == label[home]).all():
+                break
+            continue
+        own = at[starts[i] : starts[i] + n[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[at], starts)
+        mark[own] = 0
+        for j in np.flatnonzero((both >= similarity * (n + n[i] - both) - 1e-9) & (label != label[i])):
+            if label[j] != label[i]:
+                out.append((int(components[i]), int(components[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), size)).tobytes() for t in b.column(1)], pa.binary())], names=["set", "hashes"])
+
+    return run
+
+
+def rest_links(groups: DataFrame, labels: DataFrame, texts, size: int, similarity: float, path: str) -> DataFrame:
+    """a, b: links between components of ``labels`` (set, component) that pairs within ``groups`` (band, v, set, n) make.
+
+    ``texts``: from a table of ``set`` to set, _text. Groups with the same members are compared once.
+    A group of several blocks deals the members of its largest component and the others to blocks of
+    their own; two blocks of the largest component needn't meet.
+    """
+    key = ["band", "v"]
+    named = groups.where("n > 0").join(labels, "set", "left").select(*key, "set", "n", F.coalesce("component", "set").alias("component"))
+    named = stored(named, f"{path}/grouped")
+    parts = named.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("set")).alias("mix"), F.min("set").alias("lo"), F.max("set").alias("hi"))
+    whole = parts.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.bit_xor("mix").alias("mix"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("k", "w", "component")).alias("most")
+    ).where("parts > 1")
+    once = whole.groupBy("k", "w", "mix", "lo", "hi").agg(F.min(F.struct(*key, "most")).alias("g")).select("g.*", "k", "w")
+    blocks = lambda k, w: F.greatest(F.ceil(k / BLOCK_MEMBERS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    single = blocks(F.col("k"), F.col("w")) <= 1
+    once = once.select(*key, F.col("most.component").alias("most"), F.when(single, 0).otherwise(blocks(F.col("most.k"), F.col("most.w"))).alias("nb"), F.when(single, 1).otherwise(blocks(F.col("k") - F.col("most.k"), F.col("w") - F.col("most.w"))).alias("nr"))
+    once = stored(once, f"{path}/open")
+    salt = lambda n: F.pmod(F.xxhash64("set", F.lit(5)), F.greatest(n, F.lit(1))).cast("int")
+    own = F.when((F.col("nb") > 0) & (F.col("component") == F.col("most")), salt(F.col("nb"))).otherwise(F.col("nb") + salt(F.col("nr")))
+    dealt = named.join(once, key).withColumn("own", own)
+    every = F.sequence(F.lit(0), F.col("nb") + F.col("nr") - 1)
+    meets = F.filter(every, lambda j: (F.col("nb") == 0) | (j != F.col("own")) & ((j >= F.col("nb")) | (F.col("own") >= F.col("nb"))))
+    dealt = dealt.select(*key, "set", "component", "own", F.explode(meets).alias("j")).select(*key, F.least("own", "j").alias("x"), F.greatest("own", "j").alias("y"), "set", "component")
+    dealt = stored(dealt, f"{path}/dealt")
+    hashes = stored(texts(dealt.select("set").distinct()).select("set", "_text").mapInArrow(tidy(_sets(size)), "set long, hashes binary"), f"{path}/hashes", TEXT_ROWS)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = spanning(pdf["component"].to_numpy(), [np.frombuffer(h, np.uint64) for h in pdf["hashes"]], similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(hashes, "set").groupBy(*key, "x", "y").applyInPandas(one, "a long, b long").distinct()
 
 
 def distinct_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, path: str | None = None) -> DataFrame:
@@ -113,12 +197,21 @@ def distinct_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     kept = stored(texts.mapInArrow(tidy(_sketch(size)), "_rid long, _id long, set long, fp long, n long, bands array<long>, bytes binary"), f"{path}/sketches", TEXT_ROWS)
     order = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_rid")
     classes = stored(kept.groupBy("set").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), f"{path}/classes")
-    pairs = stored(candidates(classes.select("set", "fp", "n", "bands", "bytes"), path, similarity), f"{path}/pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes.select("set", F.col("first._rid").alias("_rid")), "set")
-    texts = stored(texts.select("_rid", "_text").join(wanted, "_rid").select("set", "_text"), f"{path}/texts")
-    compared = pairs.join(texts.select(F.col("set").alias("a"), F.col("_text").alias("text_a")), "a").join(texts.select(F.col("set").alias("b"), F.col("_text").alias("text_b")), "b")
+    pairs, crowds = candidates(classes.select("set", "fp", "n", "bands", "bytes"), path, similarity)
+    pairs = stored(pairs, f"{path}/pairs")
+
+    def texts_of(sets: DataFrame) -> DataFrame:
+        wanted = sets.join(classes.select("set", F.col("first._rid").alias("_rid")), "set")
+        return texts.select("_rid", "_text").join(wanted, "_rid").select("set", "_text")
+
+    paired = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()), f"{path}/texts")
+    compared = pairs.join(paired.select(F.col("set").alias("a"), F.col("_text").alias("text_a")), "a").join(paired.select(F.col("set").alias("b"), F.col("_text").alias("text_b")), "b")
     links = stored(compared.select("a", "b", "text_a", "text_b").mapInPandas(tidy(_verified(size, similarity)), "a long, b long"), f"{path}/similar", TEXT_ROWS)
     groups = components(links, path)
-    labelled = classes.join(groups.withColumnRenamed("node", "set"), "set", "left").select(F.coalesce("component", "set").alias("component"), "first")
+    groups = stored(groups.withColumnRenamed("node", "set"), f"{path}/labels")
+    rest = stored(rest_links(crowds, groups, texts_of, size, similarity, f"{path}/rest"), f"{path}/restlinks")
+    merged = components(rest, f"{path}/merged").select(F.col("node").alias("component"), F.col("component").alias("_up"))
+    labelled = classes.join(groups, "set", "left").select(F.coalesce("component", "set").alias("component"), "first")
+    labelled = labelled.join(merged, "component", "left").select(F.coalesce("_up", "component").alias("component"), "first")
     stay = labelled.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._rid").alias("_rid"))
     return rows.join(stay, "_rid", "left_semi").select("_row.*")

@@ -75,6 +75,43 @@ def test_near_duplicates_equal_all_pairs(spark, odd_docs, which):
     assert sorted(str(r["doc_id"]) for r in got.select("doc_id").collect()) == plain_kept(rows)
 
 
+def star(copies, words=200):
+    """An original and copies edited independently: each at 0.8 or more to it, below 0.8 to one another; with some strays that only share its beginning."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    base = [word() for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(copies):
+        t = list(base)
+        for k in rng.sample(range(5, words - 5), 3):
+            t[k] = word()
+        out.append(" ".join(t))
+    out += [" ".join(base[: words * 4 // 5] + [word() for _ in range(words // 5)]) for _ in range(copies // 20)]
+    rng.shuffle(out)
+    return [(i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("members", [1000, 60])
+def test_a_star_equals_all_pairs(spark, monkeypatch, members):
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", members)
+    rows = star(300 if members < 1000 else 1000)
+    got = near_dup.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({top(i) for i in range(len(rows))})
+
+
 def test_no_rows(spark, no_docs):
     assert near_dup.distinct_documents(no_docs).count() == 0
 
