@@ -3,8 +3,9 @@
 Counts of all training words are one distributed table. Its most frequent words are the network's
 vocabulary, in classes of CLASS words by rank; all other words belong to a few tail classes by their
 last byte, and share the tail's probability by their counts plus one. The network gives a class,
-then a word within it. It is trained by truncated backpropagation in numpy on a bounded sample of
-training documents; counts, tail statistics and scores cover all rows and whole texts. A document is
+then a word within it. It is trained by truncated backpropagation in numpy: a bounded sample of short
+documents gives the start, then every training row is learned from, in each task by itself, and the
+tasks' weights are averaged. Counts, tail statistics and scores cover all rows and whole texts too. A document is
 scored in windows that hand the state on, so its likelihood is that of the complete text.
 """
 
@@ -25,10 +26,12 @@ from .common import scratch, stored
 CLASS, CLASSES, HIDDEN = 64, 64, 24
 #: Words whose counts each worker holds; the others meet theirs in a join.
 FREQUENT = 131_072
-#: Training sample of the network: documents, the longest in characters, passes.
+#: Sample from which the network starts: documents, the longest in characters, passes.
 SAMPLE, SAMPLE_CHARS, PASSES = 1200, 20_000, 3
 #: Steps of truncated backpropagation, and of a scoring window; documents scored side by side.
 STEPS, WINDOW, LANES = 32, 64, 512
+#: Rounds that deal out the training rows, each row in one; documents trained side by side; symbols after which a document goes on in another lane; rate.
+ROUNDS, TRAIN_LANES, CUT, TRAIN_RATE = 3, 256, 2048, 0.003
 TAILS = 4
 VOCABULARY = CLASS * CLASSES
 END = 0
@@ -260,7 +263,7 @@ def symbols_of(words: list[bytes], index: dict[bytes, int]) -> list[int]:
 
 def train_network(texts: list[str], stats: Statistics, passes: int = PASSES, lanes: int = 48, rate: float = 0.01) -> Network:
     """Truncated backpropagation over ``texts``: streams of whole documents side by side, states carried from window to window."""
-    index = {w: i + 1 for i, w in enumerate(list(stats.frequent)[: VOCABULARY - 1])}
+    index = vocabulary(stats)
     counts = np.zeros(VOCABULARY)
     counts[END] = stats.documents
     for w, i in index.items():
@@ -286,6 +289,117 @@ def train_network(texts: list[str], stats: Statistics, passes: int = PASSES, lan
     return net
 
 
+_WEIGHTS = ("inputs", "u", "wc", "bc", "wv", "bv")
+
+
+def vocabulary(stats: Statistics) -> dict[bytes, int]:
+    return {w: i + 1 for i, w in enumerate(list(stats.frequent)[: VOCABULARY - 1])}
+
+
+def pieces_of(text: str | None, index: dict[bytes, int]) -> Iterator[np.ndarray]:
+    """Symbols of a document and its end in pieces of up to CUT, each after the symbol before it."""
+    before, rest = END, []
+    for words in words_of(text):
+        rest += symbols_of(words, index)
+        for at in range(0, len(rest) - CUT + 1, CUT):
+            yield np.array([before, *rest[at : at + CUT]], np.int32)
+            before = rest[at + CUT - 1]
+        rest = rest[len(rest) // CUT * CUT :]
+    yield np.array([before, *rest, END], np.int32)
+
+
+def learn(net: Network, pieces: Iterator[np.ndarray], rate: float, lanes: int = TRAIN_LANES) -> int:
+    """One pass of ``net`` over ``pieces``, and the number of symbols learned. A lane takes the next piece where one ends; the last window of a lane is filled up by its last piece again."""
+    h, own, at, seen, more = np.zeros((0, net.hidden), np.float32), [], [], 0, True
+    while True:
+        while more and len(own) < lanes:
+            piece = next(pieces, None)
+            more = piece is not None
+            if more:
+                own.append(piece)
+                at.append(0)
+        if len(h) < len(own):
+            h = np.concatenate([h, np.zeros((len(own) - len(h), net.hidden), np.float32)])
+        if not own:
+            net.moments = {}
+            return seen
+        symbols, targets, first = (np.zeros((STEPS, len(own)), kind) for kind in (np.int32, np.int32, bool))
+        ended = np.zeros(len(own), bool)
+        for k in range(len(own)):
+            t = 0
+            while t < STEPS:
+                if at[k] == len(own[k]) - 1:
+                    piece = next(pieces, None) if more else None
+                    more = piece is not None
+                    if more:
+                        own[k] = piece
+                    ended[k] = not more
+                    at[k] = 0
+                n = min(STEPS - t, len(own[k]) - 1 - at[k])
+                symbols[t : t + n, k] = own[k][at[k] : at[k] + n]
+                targets[t : t + n, k] = own[k][at[k] + 1 : at[k] + 1 + n]
+                first[t, k] |= at[k] == 0
+                seen += 0 if ended[k] else n
+                at[k] += n
+                t += n
+            ended[k] |= not more and at[k] == len(own[k]) - 1
+        h, _ = net.train_window(h, symbols, targets, first, rate)
+        if ended.any():
+            live = np.flatnonzero(~ended)
+            h, own, at = h[live], [own[k] for k in live], [at[k] for k in live]
+
+
+_SUM = pa.schema([("symbols", pa.int64()), ("weights", pa.binary())])
+
+
+def _sum_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    symbols, total = 0, None
+    for b in batches:
+        for n, w in zip(b.column(0), b.column(1), strict=True):
+            w = np.frombuffer(w.as_py(), np.float64)
+            symbols, total = symbols + n.as_py(), w if total is None else total + w
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"symbols": [symbols], "weights": [total.tobytes()]}, schema=_SUM)
+
+
+def learn_rows(rows: DataFrame, net: Network, stats: Statistics, path: str) -> int:
+    """Trains ``net`` on all training rows of ``rows`` (doc_id, text), and returns the number of symbols learned.
+
+    In each of ROUNDS rounds tasks start from the same weights, each learns from its own rows, and the
+    mean of their weights, by symbols learned, is the next start. Weights are summed in steps, so
+    few of them reach the driver at any number of tasks.
+    """
+    spark, index, seen = rows.sparkSession, vocabulary(stats), 0
+    train = rows.where(~held_out())
+    for i in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((net, index))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=TRAIN_RATE / (1 + i)) -> Iterator[pa.RecordBatch]:
+            start, index = shared.value
+            own = Network(*(getattr(start, k).copy() for k in _WEIGHTS))
+            n = learn(own, (p for b in batches for t in b.column(0) for p in pieces_of(t.as_py(), index)), rate)
+            if n:
+                weights = np.concatenate([getattr(own, k).ravel() for k in _WEIGHTS]).astype(np.float64) * n
+                yield pa.RecordBatch.from_pydict({"symbols": [n], "weights": [weights.tobytes()]}, schema=_SUM)
+
+        dealt = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == i).select("text")
+        sums = stored(dealt.mapInArrow(run, "symbols long, weights binary"), f"{path}/weights{i}")
+        left = sums.count()
+        while left > 16:
+            left = int(np.ceil(np.sqrt(left)))
+            sums = sums.repartition(left).mapInArrow(_sum_of, "symbols long, weights binary")
+        parts = sums.collect()  # 16 at most
+        n, at = sum(p["symbols"] for p in parts), 0
+        if n:
+            mean = sum(np.frombuffer(p["weights"], np.float64) for p in parts) / n
+            for k in _WEIGHTS:
+                old = getattr(net, k)
+                setattr(net, k, mean[at : at + old.size].reshape(old.shape).astype(np.float32))
+                at += old.size
+        seen += n
+    return seen
+
+
 _ROW = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
 _ROW_DDL = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, times: bigint>>"
 
@@ -352,7 +466,9 @@ def score_documents(docs: DataFrame, path: str | None = None, sample: int = SAMP
     counts, stats = count_words(rows, path)
     short = rows.where(~held_out()).where(F.coalesce(F.length("text"), F.lit(0)).between(1, SAMPLE_CHARS))
     texts = [r["text"] for r in short.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select("text").collect()]
-    shared = spark.sparkContext.broadcast((train_network(texts, stats), stats))  # FREQUENT words and a fixed network
+    net = train_network(texts, stats)
+    learn_rows(rows, net, stats, path)
+    shared = spark.sparkContext.broadcast((net, stats))  # FREQUENT words and a fixed network
     keyed = rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), held_out().alias("held_out"), "text")
     scored = stored(keyed.mapInArrow(_score(shared), _ROW_DDL), f"{path}/scored")
     rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times").join(counts, "word")

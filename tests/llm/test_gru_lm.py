@@ -113,6 +113,38 @@ def test_gradients(monkeypatch):
         assert abs((up - down) / 2e-5 - seen[k][at]) < 1e-6, (k, at)
 
 
+def test_all_training_rows_are_learned(spark, odd_docs, tmp_path, monkeypatch):
+    """Every symbol once, those of documents over SAMPLE_CHARS too; and weights that the start alone doesn't have."""
+    monkeypatch.setattr(lm, "CUT", 100)
+    rows = odd_docs.select("doc_id", "text")
+    _, stats = lm.count_words(rows, str(tmp_path / "a"))
+    net = lm.train_network([], stats)
+    before = net.wv.copy()
+    assert lm.learn_rows(rows, net, stats, str(tmp_path / "b")) == stats.tokens
+    assert not np.array_equal(before, net.wv)
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 50])
+def test_each_symbol_is_learned_after_the_one_before(monkeypatch, lanes):
+    monkeypatch.setattr(lm, "CUT", 70)
+    texts = [" ".join(f"w{(7 * i + k) % 90}" for k in range(n)) for i, n in enumerate([0, 1, 31, 32, 33, 69, 70, 71, 140, 400])]
+    s = stats_of(texts)
+    index, pairs = lm.vocabulary(s), Counter()
+    net = lm.train_network([], s)
+
+    def window(h, symbols, targets, first, rate):
+        pairs.update(zip(symbols.ravel().tolist(), targets.ravel().tolist()))
+        return h, 0.0
+
+    monkeypatch.setattr(net, "train_window", window)
+    assert lm.learn(net, (p for t in texts for p in lm.pieces_of(t, index)), 0.1, lanes) == s.tokens
+    want = Counter()
+    for t in texts:
+        x = [lm.END, *lm.symbols_of([w.encode() for w in t.split()], index), lm.END]
+        want.update(zip(x, x[1:]))
+    assert not want - pairs and sum(pairs.values()) < sum(want.values()) + lm.STEPS * min(lanes, len(texts) + 12)
+
+
 def test_words_in_pieces():
     text = "Ab  c\tdé\n" * 50 + "z" * 400 + " end"
     assert [w for ws in lm.words_of(text, 37) for w in ws] == [w.encode() for w in plain_words(text)]
