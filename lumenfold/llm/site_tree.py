@@ -179,18 +179,18 @@ def style_rows(el: Element) -> list[tuple[str, str, str]]:
     return out
 
 
-_ROW = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("value", pa.int64()), ("n", pa.int64())])
+_ROW = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("value", pa.int64()), ("n", pa.float64())])
 
 
 def _style_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (host, path, kind, value) over the pages of a batch; a page counts once for each."""
+    """Counts of (host, path, kind, value) over the pages of a batch; a page counts once for each, and one of ``copies`` for its share."""
     import xxhash
 
     for b in batches:
         counts: Counter = Counter()
-        for host, html in zip(b.column(0), b.column(1), strict=True):
-            h = host.as_py()
-            counts.update({(h, p, k, xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) >> 1) for p, k, v in style_rows(parse(html.as_py()))})
+        for host, html, copies in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            h, share = host.as_py(), 1 / copies.as_py()
+            counts.update(dict.fromkeys(((h, p, k, xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) >> 1) for p, k, v in style_rows(parse(html.as_py()))), share))
         cols = list(zip(*((*k, n) for k, n in counts.items()), strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
@@ -202,10 +202,15 @@ def host_column():
 def node_statistics(pages: DataFrame) -> DataFrame:
     """host, path, pages, styles, own (entropy of styles), leaf (importance of contents): a row for each node that LEAST_PAGES pages of its host have.
 
-    ``pages``: host, html. Counts are made in each task before they are shuffled; a group is reduced
-    by its values, so no host meets in one task.
+    ``pages``: host, html. Equal pages of a host count once together. Counts are made in each task
+    before they are shuffled; a group is reduced by its values, so no host meets in one task.
     """
-    counted = pages.select("host", "html").mapInArrow(_style_batches, "host string, path string, kind string, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    page = ["host", "h0", "h1"]
+    keyed = pages.select("host", "html", F.xxhash64("html").alias("h0"), F.xxhash64("html", F.lit(1)).alias("h1"))
+    copied = keyed.groupBy(*page).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    shared = keyed.join(copied, page, "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    # Shares of whole pages sum to whole numbers.
+    counted = shared.mapInArrow(_style_batches, "host string, path string, kind string, value long, n double").groupBy("host", "path", "kind", "value").agg(F.round(F.sum("n")).cast("long").alias("n"))
     total = F.sum("n")
     node = counted.groupBy("host", "path", "kind").agg(total.alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"), F.count(F.lit(1)).alias("k"), F.max("n").alias("most"))
     # Entropy of n_i / m, to base m: 1 for one page each, 0 for one value on all. A node of one page is important.

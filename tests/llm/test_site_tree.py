@@ -81,3 +81,13 @@ def test_importance():
 
 def test_no_rows(spark):
     assert st.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_equal_pages_of_a_host_count_once(spark):
+    page = "<html><body><div class=a><p>one {}</p></div><div class=b><p>two {}</p></div></body></html>"
+    once = [("h", page.format(i, i)) for i in range(3)] + [("g", page.format(9, 9))]
+    twice = once + [once[0]] * 6 + [once[3]]
+    stats = lambda rows: sorted(map(tuple, st.node_statistics(spark.createDataFrame(rows, "host string, html string").repartition(3)).collect()))
+    assert stats(twice) == stats(once)
+    rows = [(i, "http://g/x", html) for i, (_, html) in enumerate([once[3]] * 2)]
+    assert [r["text"] for r in st.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == ["one 9\n\ntwo 9"] * 2
