@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch
+from .. import session
 
-__all__ = ["TEXT_ROWS", "running_starts", "scratch", "stored", "table", "tidy"]
+__all__ = ["TEXT_ROWS", "give_back", "in_files", "running_starts", "scratch", "stored", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of whole texts in one Arrow batch; batches lie outside of the heap, twice for each task.
 TEXT_ROWS = 2000
+#: Bytes after which an Arrow batch ends, whatever its rows; a single longer row is a batch by itself.
+BATCH_BYTES = 8 << 20
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new shared folder (see ``session.scratch``). From here on the session's Arrow batches are bounded by bytes too."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "64m").rstrip("bkmg") or 0) != BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return session.scratch(spark)
 
 
 def stored(df: DataFrame, path: str, batch_rows: int | None = None) -> DataFrame:
@@ -40,12 +51,28 @@ def stored(df: DataFrame, path: str, batch_rows: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """``df``, of at most ``rows`` short rows, in as few partitions as hold ``each`` rows: no table of many tiny files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: Arrow's pool, and what the C library keeps, if it can be asked."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that gives memory back when its task ends: a Python worker lives on, beside the tasks of later stages."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
     return wrapped
 

@@ -4,8 +4,10 @@ Candidates come from two indexes over classes of documents with equal shingle se
 deletion-variant index, and, because texts at similarity 0.8 often differ in more than three
 fingerprint bits, bands of minwise hashes. Either only proposes; a candidate pair is linked if the
 Jaccard similarity of its whole shingle sets reaches the limit. In a group of equal bands each class
-first meets two leaders of the group. A group that those links leave in several components is then
+first meets one leader of the group. A group that those links leave in several components is then
 compared whole: every pair of its members from different components, in blocks of bounded size.
+Texts are read twice, for their sketches and for the shingle hashes of those in any group; from then
+on only hashes move.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, scratch, stored, tidy
+from .common import TEXT_ROWS, give_back, in_files, scratch, stored, tidy
 from .simhash import components, fingerprint, fingerprint_links, shingle_hashes
 
 #: Bands of ROWS minwise hashes each: a pair at similarity 0.8 shares no band with a chance of 0.0002.
@@ -62,24 +64,15 @@ def _sketch(size: int):
     return run
 
 
-def _verified(size: int, similarity: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verified(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known: dict[int, np.ndarray] = {}
-
-            def of(key: int, text: str, known=known) -> np.ndarray:
-                if key not in known:
-                    if len(known) > 2000:
-                        known.clear()
-                    known[key] = np.unique(shingle_hashes(text, size))
-                return known[key]
-
             ok = []
-            for x, y, s, t in zip(b["a"], b["b"], b["text_a"], b["text_b"], strict=True):
-                p, q = of(x, s), of(y, t)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            yield b.loc[ok, ["a", "b"]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -93,9 +86,9 @@ def candidates(classes: DataFrame, path: str, similarity: float) -> tuple[DataFr
     """
     me = F.struct("set", "n", "bytes")
     cells = stored(classes.select(me.alias("me"), F.posexplode("bands").alias("band", "v")), f"{path}/cells")
-    leaders = cells.groupBy("band", "v").agg(F.count(F.lit(1)).alias("k"), F.min("me").alias("l0"), F.min_by("me", F.xxhash64("me.set", "band")).alias("l1")).where("k > 1")
+    leaders = cells.groupBy("band", "v").agg(F.count(F.lit(1)).alias("k"), F.min("me").alias("other")).where("k > 1")
     members = stored(cells.join(leaders, ["band", "v"]), f"{path}/members")
-    near = members.select("me", F.explode(F.array("l0", "l1")).alias("other"))
+    near = members.select("me", "other")
     first = classes.groupBy("fp").agg(F.min(me).alias("lead"), F.count(F.lit(1)).alias("k"))
     same = classes.select("fp", me.alias("me")).join(first.where("k > 1"), "fp").select("me", F.col("lead").alias("other"))
     links = stored(fingerprint_links(first.select("fp"), f"{path}/variants"), f"{path}/fplinks")
@@ -149,12 +142,12 @@ def _sets(size: int):
     return run
 
 
-def rest_links(groups: DataFrame, labels: DataFrame, texts, size: int, similarity: float, path: str) -> DataFrame:
+def rest_links(groups: DataFrame, labels: DataFrame, hashes: DataFrame, similarity: float, path: str) -> DataFrame:
     """a, b: links between components of ``labels`` (set, component) that pairs within ``groups`` (band, v, set, n) make.
 
-    ``texts``: from a table of ``set`` to set, _text. Groups with the same members are compared once.
-    A group of several blocks deals the members of its largest component and the others to blocks of
-    their own; two blocks of the largest component needn't meet.
+    ``hashes``: set, hashes of all members. Groups with the same members are compared once. A group of
+    several blocks deals the members of its largest component and the others to blocks of their own;
+    two blocks of the largest component needn't meet.
     """
     key = ["band", "v"]
     named = groups.where("n > 0").join(labels, "set", "left").select(*key, "set", "n", F.coalesce("component", "set").alias("component"))
@@ -175,10 +168,10 @@ def rest_links(groups: DataFrame, labels: DataFrame, texts, size: int, similarit
     meets = F.filter(every, lambda j: (F.col("nb") == 0) | (j != F.col("own")) & ((j >= F.col("nb")) | (F.col("own") >= F.col("nb"))))
     dealt = dealt.select(*key, "set", "component", "own", F.explode(meets).alias("j")).select(*key, F.least("own", "j").alias("x"), F.greatest("own", "j").alias("y"), "set", "component")
     dealt = stored(dealt, f"{path}/dealt")
-    hashes = stored(texts(dealt.select("set").distinct()).select("set", "_text").mapInArrow(tidy(_sets(size)), "set long, hashes binary"), f"{path}/hashes", TEXT_ROWS)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         found = spanning(pdf["component"].to_numpy(), [np.frombuffer(h, np.uint64) for h in pdf["hashes"]], similarity)
+        give_back()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.join(hashes, "set").groupBy(*key, "x", "y").applyInPandas(one, "a long, b long").distinct()
@@ -198,18 +191,18 @@ def distinct_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     order = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_rid")
     classes = stored(kept.groupBy("set").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), f"{path}/classes")
     pairs, crowds = candidates(classes.select("set", "fp", "n", "bands", "bytes"), path, similarity)
-    pairs = stored(pairs, f"{path}/pairs")
-
-    def texts_of(sets: DataFrame) -> DataFrame:
-        wanted = sets.join(classes.select("set", F.col("first._rid").alias("_rid")), "set")
-        return texts.select("_rid", "_text").join(wanted, "_rid").select("set", "_text")
-
-    paired = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()), f"{path}/texts")
-    compared = pairs.join(paired.select(F.col("set").alias("a"), F.col("_text").alias("text_a")), "a").join(paired.select(F.col("set").alias("b"), F.col("_text").alias("text_b")), "b")
-    links = stored(compared.select("a", "b", "text_a", "text_b").mapInPandas(tidy(_verified(size, similarity)), "a long, b long"), f"{path}/similar", TEXT_ROWS)
+    n = classes.count()
+    # At most a pair for each class and band, and fingerprint; far fewer where few are alike.
+    pairs, crowds = stored(in_files(pairs, BANDS * n, 1 << 22), f"{path}/pairs"), stored(in_files(crowds, BANDS * n, 1 << 22), f"{path}/crowds")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(crowds.select("set")).distinct()
+    named = texts.select("_rid", "_text").join(wanted.join(classes.select("set", F.col("first._rid").alias("_rid")), "set"), "_rid").select("set", "_text")
+    hashes = stored(named.mapInArrow(tidy(_sets(size)), "set long, hashes binary"), f"{path}/hashes", TEXT_ROWS)
+    of = lambda c: hashes.select(F.col("set").alias(c), F.col("hashes").alias(f"hashes_{c}"))
+    compared = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b")
+    links = stored(compared.mapInArrow(tidy(_verified(similarity)), "a long, b long"), f"{path}/similar")
     groups = components(links, path)
     groups = stored(groups.withColumnRenamed("node", "set"), f"{path}/labels")
-    rest = stored(rest_links(crowds, groups, texts_of, size, similarity, f"{path}/rest"), f"{path}/restlinks")
+    rest = stored(rest_links(crowds, groups, hashes, similarity, f"{path}/rest"), f"{path}/restlinks")
     merged = components(rest, f"{path}/merged").select(F.col("node").alias("component"), F.col("component").alias("_up"))
     labelled = classes.join(groups, "set", "left").select(F.coalesce("component", "set").alias("component"), "first")
     labelled = labelled.join(merged, "component", "left").select(F.coalesce("_up", "component").alias("component"), "first")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import in_files, scratch, stored
 
 SEED = 42
 #: A group of equal signatures up to this size is compared directly; larger ones are cut again.
@@ -189,16 +189,17 @@ def components(links: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
     links = stored(links.where("a <> b"), f"{path}/links")
     done: list[DataFrame] = []
     for i in range(most_rounds):
-        if links.isEmpty():
+        n = links.count()
+        if not n:
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c, i=i: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("v"))
-        up = stored(both.groupBy("a").agg(F.min(rank("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", rank("a"))["v"].alias("up")), f"{path}/up{i}")
+        up = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", rank("a"))["v"].alias("up"))
         up2 = up.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        parent = stored(up.join(up2, "up").select("node", F.col("up2").alias("up")), f"{path}/parent{i}")
+        parent = stored(in_files(up.join(up2, "up").select("node", F.col("up2").alias("up")), 2 * n), f"{path}/parent{i}")
         to = lambda c, parent=parent: parent.select(F.col("node").alias(c), F.col("up").alias(f"{c}2"))
         links = links.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        links = stored(links, f"{path}/links{i}")
+        links = stored(in_files(links, n), f"{path}/links{i}")
         done.append(parent)
     else:
         raise RuntimeError("the components did not settle")
