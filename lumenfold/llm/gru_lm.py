@@ -3,59 +3,65 @@
 Counts of all training words are one distributed table. Its most frequent words are the network's
 vocabulary, in classes of CLASS words by rank; all other words belong to a few tail classes by their
 last byte, and share the tail's probability by their counts plus one. The network gives a class,
-then a word within it. It is trained by truncated backpropagation in numpy: a bounded sample of short
-documents gives the start, then every training row is learned from, in each task by itself, and the
-tasks' weights are averaged. Counts, tail statistics and scores cover all rows and whole texts too. A document is
+then a word within it.
+
+Every row is turned into symbols once. The network starts from the unigram law and learns from every
+symbol of every training row by truncated backpropagation in numpy: in each round tasks start from
+the same weights, each learns from its own rows, and their weights are averaged. A document is
 scored in windows that hand the state on, so its likelihood is that of the complete text.
+
+Arrays of states have a row for each unit and a column for each document, so that what is done for
+all documents runs along memory.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import scratch, stored, tidy
 
 #: Words of a class, number of classes (the network's vocabulary is their product, end included), hidden units.
-CLASS, CLASSES, HIDDEN = 64, 64, 24
-#: Words whose counts each worker holds; the others meet theirs in a join.
+CLASS, CLASSES, HIDDEN = 128, 32, 24
+#: Words whose counts each worker holds at most; the others meet theirs in a join.
 FREQUENT = 131_072
-#: Sample from which the network starts: documents, the longest in characters, passes.
-SAMPLE, SAMPLE_CHARS, PASSES = 1200, 20_000, 3
 #: Steps of truncated backpropagation, and of a scoring window; documents scored side by side.
 STEPS, WINDOW, LANES = 32, 64, 512
-#: Rounds that deal out the training rows, each row in one; documents trained side by side; symbols after which a document goes on in another lane; rate.
-ROUNDS, TRAIN_LANES, CUT, TRAIN_RATE = 3, 256, 2048, 0.003
+#: Symbols of documents that are scored together; the batch that reaches it is the last.
+AT_ONCE = 6_000_000
+#: Tenths of the training rows that each round deals out, each row in one; streams trained side by side; symbols that are laid out at once; rate of the first round.
+ROUNDS, TRAIN_LANES, BLOCK, RATE = (1, 2, 3, 4), 256, 1 << 20, 0.01
 TAILS = 4
 VOCABULARY = CLASS * CLASSES
 END = 0
 
 
-def words_of(text: str | None, piece: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Words of ``text``, lower-cased in A-Z, in lists of bounded size."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    at = 0
-    while at < len(data):
-        end = at + piece
-        if end < len(data):
-            # The piece goes on to the next white space, so no word is cut.
-            while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
-                nxt = min((i for i in (data.find(c, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if i >= 0), default=len(data))
-                end = nxt
-        yield data[at:end].split()
-        at = end
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts`` as bytes, lower-cased in A-Z, and how many each text has. Nulls are empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, per_text = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    # White space at either end gives an empty word there.
+    full = pc.not_equal(words, "")
+    if not pc.all(full, min_count=0).as_py():
+        owner = np.repeat(np.arange(len(per_text)), per_text)[full.to_numpy(zero_copy_only=False)]
+        words, per_text = words.filter(full), np.bincount(owner, minlength=len(per_text))
+    return words.cast(pa.binary()), per_text
 
 
-def tail_of(word: bytes) -> int:
-    """Tail class by the last byte: letter, full stop, comma, other."""
-    b = word[-1]
-    return 0 if 97 <= b <= 122 or b >= 128 else 1 if b == 46 else 2 if b == 44 else 3
+def tails_of(words: pa.Array) -> np.ndarray:
+    """Tail class of each of ``words`` (bytes, none empty) by its last byte: letter, full stop, comma, other."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    last = np.frombuffer(words.buffers()[2], np.uint8)[offsets[1:].astype(np.int64) - 1]
+    return np.select([(last >= 97) & (last <= 122) | (last >= 128), last == 46, last == 44], [0, 1, 2], 3)
 
 
 def _tail_column() -> Column:
@@ -69,18 +75,19 @@ def held_out() -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    waiting, n = [], 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        counts = pa.chunked_array(waiting, pa.binary()).value_counts()
+        return pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "c"])
 
     for b in batches:
-        for text in b.column(0):
-            for words in words_of(text.as_py()):
-                counts.update(words)
-                if len(counts) > 500_000:
-                    yield flush()
-                    counts.clear()
+        words, _ = split_words(b.column(0))
+        waiting.append(words)
+        n += len(words)
+        if n >= 3_000_000:
+            yield flush()
+            waiting, n = [], 0
     yield flush()
 
 
@@ -97,31 +104,43 @@ class Statistics:
 
 
 def count_words(docs: DataFrame, path: str) -> tuple[DataFrame, Statistics]:
-    """The table of all training words (word: binary, c), and what the model keeps of it."""
+    """The table of all training words (word: binary, c), and what the model keeps of it.
+
+    The driver gets a histogram of the counts on a scale of sixteenths of a doubling, and the words
+    above a cut that at most FREQUENT words reach.
+    """
     train = docs.where(~held_out())
-    counts = stored(train.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), f"{path}/counts")
+    counts = stored(train.select("text").mapInArrow(tidy(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), f"{path}/counts")
     documents = train.count()
-    by_tail = {r["tail"]: r for r in counts.groupBy(_tail_column().alias("tail")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    frequent = {bytes(r["word"]): r["c"] for r in top}
-    tokens, kinds = [by_tail[t]["c"] if t in by_tail else 0 for t in range(TAILS)], [by_tail[t]["n"] if t in by_tail else 0 for t in range(TAILS)]
+    level = F.floor(F.log2("c") * 16).cast("int")
+    sums = counts.groupBy(_tail_column().alias("tail"), level.alias("level")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
+    tokens, kinds = [sum(r["c"] for r in sums if r["tail"] == t) for t in range(TAILS)], [sum(r["n"] for r in sums if r["tail"] == t) for t in range(TAILS)]
+    cut, held = None, 0
+    for at in sorted({r["level"] for r in sums}, reverse=True):
+        held += sum(r["n"] for r in sums if r["level"] == at)
+        if held > FREQUENT:
+            break
+        cut = at
+    top = [] if cut is None else counts.where(level >= cut).collect()
+    frequent = {bytes(r["word"]): r["c"] for r in sorted(top, key=lambda r: (-r["c"], bytes(r["word"])))}
     stats = Statistics(sum(tokens) + documents, sum(kinds) + bool(documents), documents, frequent, tokens, kinds)
-    for w in list(frequent)[: VOCABULARY - 1]:
-        t = tail_of(w)
+    named = list(vocabulary(stats))
+    for w, t in zip(named, tails_of(pa.array(named, pa.binary())).tolist(), strict=True):
         stats.tail_tokens[t] -= frequent[w]
         stats.tail_kinds[t] -= 1
     return counts, stats
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def vocabulary(stats: Statistics) -> dict[bytes, int]:
+    return {w: i + 1 for i, w in enumerate(list(stats.frequent)[: VOCABULARY - 1])}
 
 
 @dataclass
 class Network:
-    """inputs: gate inputs of each symbol (words, then tails); u: recurrent weights; classes and words: output weights and biases."""
+    """inputs: vector of each symbol (words, then tails); w and u: gate weights of input and state; wc, bc, wv, bv: output weights and biases of classes and words."""
 
     inputs: np.ndarray
+    w: np.ndarray
     u: np.ndarray
     wc: np.ndarray
     bc: np.ndarray
@@ -135,218 +154,245 @@ class Network:
         rng = np.random.default_rng(seed)
         c = (counts + 1.0).reshape(CLASSES, CLASS)
         mass = np.concatenate([c.sum(1), tails + 1.0])
+        gates = lambda: (rng.normal(0, 1, (3 * hidden, hidden)) / np.sqrt(hidden)).astype(np.float32)
         return Network(
-            rng.normal(0, 0.1, (VOCABULARY + TAILS, 3 * hidden)).astype(np.float32), (rng.normal(0, 1, (hidden, 3 * hidden)) / np.sqrt(hidden)).astype(np.float32), np.zeros((hidden, CLASSES + TAILS), np.float32),
-            np.log(mass / mass.sum()).astype(np.float32), np.zeros((CLASSES, CLASS, hidden), np.float32), np.log(c / c.sum(1, keepdims=True)).astype(np.float32),
+            rng.normal(0, 0.3, (VOCABULARY + TAILS, hidden)).astype(np.float32), gates(), gates(), np.zeros((CLASSES + TAILS, hidden), np.float32), np.log(mass / mass.sum()).astype(np.float32),
+            np.zeros((CLASSES, CLASS, hidden), np.float32), np.log(c / c.sum(1, keepdims=True)).astype(np.float32),
         )
 
+    @staticmethod
+    def of(stats: Statistics) -> Network:
+        counts = np.zeros(VOCABULARY)
+        counts[END] = stats.documents
+        for w, i in vocabulary(stats).items():
+            counts[i] = stats.frequent[w]
+        return Network.fresh(counts, np.array(stats.tail_tokens, float))
+
     @property
     def hidden(self) -> int:
-        return len(self.u)
+        return self.u.shape[1]
 
-    def step(self, h: np.ndarray, symbols: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def step(self, h: np.ndarray, gx: np.ndarray, tape: list | None = None) -> np.ndarray:
+        """States (units x lanes) after one symbol of each lane; ``gx`` is w @ inputs of it."""
         k = self.hidden
-        gx, gh = self.inputs[symbols], h @ self.u
-        zr = _sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
-        if keep is not None:
-            keep.update(h=h, z=z, r=r, n=n, g=gh[:, 2 * k :], x=symbols)
-        return n + z * (h - n)
-
-    def log_likelihood(self, hs: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray:
-        """Natural log probabilities of target symbols after states ``hs``. With ``grads``: also adds gradients of their mean's negative, and of the states under "h"."""
-        n = len(hs)
-        kind = np.where(targets < VOCABULARY, targets // CLASS, CLASSES + targets - VOCABULARY)
-        logits = hs @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        rows = np.arange(n)
-        out = (logits[rows, kind] - np.log(total)).astype(np.float64)
-        if grads is not None:
-            d = e / total[:, None]
-            d[rows, kind] -= 1
-            d /= n
-            grads["wc"] += hs.T @ d
-            grads["bc"] += d.sum(0)
-            grads["h"] = d @ self.wc.T
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if not len(own):
-                continue
-            h = hs[own]
-            s = h @ self.wv[c].T + self.bv[c]
-            s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(1)
-            word = targets[own] % CLASS
-            at = np.arange(len(own))
-            out[own] += s[at, word] - np.log(total)
-            if grads is not None:
-                d = e / total[:, None]
-                d[at, word] -= 1
-                d /= n
-                grads["wv"][c] += d.T @ h
-                grads["bv"][c] += d.sum(0)
-                grads["h"][own] += d @ self.wv[c]
+        g = self.u @ h
+        zr = g[: 2 * k]
+        zr += gx[: 2 * k]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        z, r = zr[:k], zr[k:]
+        n = r * g[2 * k :]
+        n += gx[2 * k :]
+        np.tanh(n, out=n)
+        if tape is not None:
+            tape.append((h, z, r, n, g[2 * k :]))
+        out = h - n
+        out *= z
+        out += n
         return out
 
+    @staticmethod
+    def _exp(logits: np.ndarray) -> np.ndarray:
+        """exp of ``logits`` (rows x kinds) in place, scaled by row so that nothing overflows; returns the log of each row's sum."""
+        top = logits.max()
+        shifted = top > 30
+        if shifted:
+            top = logits.max(1)
+            logits -= top[:, None]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        return np.log(total) + top if shifted else np.log(total)
+
+    def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray:
+        """Natural log probabilities of target symbols after ``states`` (units x targets). With ``grads``: also adds gradients of their mean's negative, and of the states under "h"."""
+        n = len(targets)
+        order = np.argsort(targets.astype(np.int16 if VOCABULARY + TAILS < 1 << 15 else np.int64), kind="stable")
+        t = targets[order].astype(np.int64)
+        hs = np.take(states.T, order, axis=0)
+        kind = np.where(t < VOCABULARY, t // CLASS, CLASSES + t - VOCABULARY)
+        out = np.einsum("ij,ij->i", hs, self.wc[kind]).astype(np.float64) + self.bc[kind]
+        dh = np.empty_like(hs) if grads is not None else None
+        for a in range(0, n, 4096):
+            h, own = hs[a : a + 4096], kind[a : a + 4096]
+            e = h @ self.wc.T
+            e += self.bc
+            total = self._exp(e)
+            out[a : a + 4096] -= total
+            if grads is not None:
+                e /= (e @ np.ones(e.shape[1], e.dtype))[:, None] * n
+                e[np.arange(len(own)), own] -= 1 / n
+                grads["wc"] += e.T @ h
+                grads["bc"] += e.sum(0)
+                dh[a : a + 4096] = e @ self.wc
+        bounds = np.searchsorted(t, np.arange(CLASSES + 1) * CLASS)
+        inside = bounds[-1]
+        word = t[:inside] % CLASS
+        out[:inside] += np.einsum("ij,ij->i", hs[:inside], self.wv[kind[:inside], word]) + self.bv[kind[:inside], word]
+        for c in np.flatnonzero(np.diff(bounds)):
+            for a in range(bounds[c], bounds[c + 1], 4096):
+                b = min(a + 4096, bounds[c + 1])
+                h = hs[a:b]
+                e = h @ self.wv[c].T
+                e += self.bv[c]
+                total = self._exp(e)
+                out[a:b] -= total
+                if grads is not None:
+                    e /= (e @ np.ones(CLASS, e.dtype))[:, None] * n
+                    e[np.arange(b - a), word[a:b]] -= 1 / n
+                    grads["wv"][c] += e.T @ h
+                    grads["bv"][c] += e.sum(0)
+                    dh[a:b] += e @ self.wv[c]
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        if grads is not None:
+            grads["h"] = dh[back].T
+        return out[back]
+
     def train_window(self, h: np.ndarray, symbols: np.ndarray, targets: np.ndarray, first: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """One update over a window (steps x lanes); ``first`` marks inputs that begin a document and so a state of zeros."""
-        steps, tape, states = len(symbols), [], []
+        steps, lanes = symbols.shape
+        k, flat, live = self.hidden, symbols.ravel(), ~first
+        own = self.inputs[flat]
+        gx = (self.w @ own.T).reshape(3 * k, steps, lanes)
+        tape: list = []
+        states = np.empty((k, steps, lanes), h.dtype)
         for t in range(steps):
-            keep: dict = {}
-            h = self.step(h * ~first[t][:, None], symbols[t], keep)
-            tape.append(keep)
-            states.append(h)
-        grads = {k: np.zeros_like(getattr(self, k)) for k in ("inputs", "u", "wc", "bc", "wv", "bv")}
-        loss = -self.log_likelihood(np.concatenate(states), targets.ravel(), grads).mean()
-        dout = grads.pop("h").reshape(steps, len(h), -1)
-        dh, dx = np.zeros_like(h), []
+            h = self.step(h * live[t], gx[:, t], tape)
+            states[:, t] = h
+        grads = {name: np.zeros_like(getattr(self, name)) for name in _WEIGHTS}
+        loss = -self.log_likelihood(states.reshape(k, -1), targets.ravel(), grads).mean()
+        dout = np.ascontiguousarray(grads.pop("h")).reshape(k, steps, lanes)
+        dh, dx, du = np.zeros_like(h), np.empty_like(gx), np.empty_like(gx)
         for t in range(steps - 1, -1, -1):
-            k = tape[t]
-            d = dout[t] + dh
-            dz, dn = d * (k["h"] - k["n"]) * k["z"] * (1 - k["z"]), d * (1 - k["z"]) * (1 - k["n"] ** 2)
-            dr = dn * k["g"] * k["r"] * (1 - k["r"])
-            dg = np.concatenate([dz, dr, dn * k["r"]], 1)
-            grads["u"] += k["h"].T @ dg
-            dh = (d * k["z"] + dg @ self.u.T) * ~first[t][:, None]
-            dx.append(np.concatenate([dz, dr, dn], 1))
-        np.add.at(grads["inputs"], symbols[::-1].ravel(), np.concatenate(dx))
-        norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
-        self._adam(grads, rate * min(1.0, 1.0 / max(norm, 1e-12)) if norm > 1 else rate)
+            before, z, r, n, g = tape[t]
+            d = dout[:, t] + dh
+            rest = 1 - z
+            dz = (before - n) * d
+            dz *= z
+            dz *= rest
+            dn = rest * d
+            dn *= 1 - n * n
+            dr = dn * g
+            dr *= r
+            dr *= 1 - r
+            dx[:k, t], dx[k : 2 * k, t], dx[2 * k :, t] = dz, dr, dn
+            du[:k, t], du[k : 2 * k, t], du[2 * k :, t] = dz, dr, dn * r
+            dh = self.u.T @ du[:, t]
+            dh += d * z
+            dh *= live[t]
+        dx, du = dx.reshape(3 * k, -1), du.reshape(3 * k, -1)
+        grads["u"] += du @ np.stack([x[0] for x in tape], 1).reshape(k, -1).T
+        grads["w"] += dx @ own
+        order = np.argsort(flat, kind="stable")
+        at = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1])
+        grads["inputs"][flat[order][at]] += np.add.reduceat((dx.T @ self.w)[order], at, axis=0)
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        self._adam(grads, rate / norm if norm > 1 else rate)
         return h, float(loss)
 
     def _adam(self, grads: dict, rate: float) -> None:
         t = self.moments["t"] = self.moments.get("t", 0) + 1
+        scale = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         for name, g in grads.items():
             m, v = self.moments.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p = getattr(self, name)
-            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            g *= g
+            v += 0.01 * g
+            np.sqrt(v, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= scale
+            getattr(self, name)[...] -= g
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each symbol stream (ends included): windows of steps over all of them side by side, the state carried on."""
+        """Natural log probability of each symbol stream, whose end is its only END: windows of steps, the state carried on.
+
+        Documents are dealt to lanes of about equal length, one after another, so many go side by side
+        to the end.
+        """
         out = np.zeros(len(texts))
-        order = np.argsort([-len(x) for x in texts], kind="stable")
-        for i in range(0, len(order), LANES):
-            lanes = order[i : i + LANES]
-            lengths = np.array([len(texts[j]) for j in lanes])
-            h, before = np.zeros((len(lanes), self.hidden), np.float32), np.full(len(lanes), END)
-            for at in range(0, int(lengths[0]), WINDOW):
-                states, targets, owners = [], [], []
-                live = int((lengths > at).sum())
-                block = np.zeros((live, WINDOW), np.int32)
-                for k in range(live):
-                    part = texts[lanes[k]][at : at + WINDOW]
-                    block[k, : len(part)] = part
-                for t in range(min(WINDOW, int(lengths[0]) - at)):
-                    n = int((lengths > at + t).sum())
-                    h = self.step(h[:n], before[:n])
-                    before = block[:n, t]
-                    states.append(h)
-                    targets.append(before)
-                    owners.append(np.arange(n))
-                p = self.log_likelihood(np.concatenate(states), np.concatenate(targets))
-                out[lanes] += np.bincount(np.concatenate(owners), p, len(lanes))
+        if not texts:
+            return out
+        # Longest first, each to the lane with least to do.
+        lanes = [(0, i) for i in range(min(LANES, len(texts)))]
+        dealt: list[list[int]] = [[] for _ in lanes]
+        for j in np.argsort([-len(x) for x in texts], kind="stable").tolist():
+            size, i = lanes[0]
+            dealt[i].append(j)
+            heapq.heapreplace(lanes, (size + len(texts[j]), i))
+        sizes = np.zeros(len(dealt), np.int64)
+        for size, i in lanes:
+            sizes[i] = size
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        names = np.array([j for i in order for j in dealt[i]])
+        at_doc = np.concatenate([[0], np.cumsum([len(dealt[i]) for i in order])[:-1]]) - 1  # the document that each lane is in
+        streams = [np.concatenate([texts[j] for j in dealt[i]]) for i in order]
+        h, before, sums = np.zeros((self.hidden, len(order)), np.float32), np.full(len(order), END), np.zeros(len(texts))
+        for at in range(0, int(sizes[0]), WINDOW):
+            live, steps = int((sizes > at).sum()), min(WINDOW, int(sizes[0]) - at)
+            block = np.zeros((steps, live), np.int32)
+            for j in range(live):
+                part = streams[j][at : at + steps]
+                block[: len(part), j] = part
+            inputs = np.concatenate([before[None, :live], block[:-1]])
+            first = inputs == END
+            on = at + np.arange(steps)[:, None] < sizes[None, :live]  # a prefix of the lanes at every step
+            first &= on
+            docs = at_doc[:live] + np.cumsum(first, 0)
+            bounds = np.concatenate([[0], np.cumsum(on.sum(1))])
+            gx = self.w @ self.inputs[inputs[on]].T
+            states = np.empty((self.hidden, bounds[-1]), np.float32)
+            keep = ~first
+            for t in range(steps):
+                a, b = bounds[t], bounds[t + 1]
+                h = states[:, a:b] = self.step(h[:, : b - a] * keep[t, : b - a], gx[:, a:b])
+            before, at_doc = block[-1], docs[-1]
+            sums += np.bincount(docs[on], self.log_likelihood(states, block[on]), len(texts))
+        out[names] = sums
         return out
 
 
-def symbols_of(words: list[bytes], index: dict[bytes, int]) -> list[int]:
-    get = index.get
-    return [s if (s := get(w)) is not None and s < VOCABULARY else VOCABULARY + tail_of(w) for w in words]
-
-
-def train_network(texts: list[str], stats: Statistics, passes: int = PASSES, lanes: int = 48, rate: float = 0.01) -> Network:
-    """Truncated backpropagation over ``texts``: streams of whole documents side by side, states carried from window to window."""
-    index = vocabulary(stats)
-    counts = np.zeros(VOCABULARY)
-    counts[END] = stats.documents
-    for w, i in index.items():
-        counts[i] = stats.frequent[w]
-    net = Network.fresh(counts, np.array(stats.tail_tokens, float))
-    streams: list[list[int]] = [[] for _ in range(lanes)]
-    for text in texts:
-        s = min(streams, key=len)
-        for words in words_of(text):
-            s += symbols_of(words, index)
-        s.append(END)
-    size = max(map(len, streams), default=0)
-    if not size:
-        return net
-    target = np.array([(s * (size // max(len(s), 1) + 1))[:size] if s else [END] * size for s in streams]).T
-    symbols = np.concatenate([np.full((1, lanes), END), target[:-1]])
-    first = symbols == END
-    for p in range(passes):
-        h = np.zeros((lanes, net.hidden), np.float32)
-        for at in range(0, size, STEPS):
-            h, _ = net.train_window(h, symbols[at : at + STEPS], target[at : at + STEPS], first[at : at + STEPS], rate / (1 + p))
-    net.moments = {}
-    return net
-
+_WEIGHTS = ("inputs", "w", "u", "wc", "bc", "wv", "bv")
 
-_WEIGHTS = ("inputs", "u", "wc", "bc", "wv", "bv")
 
+def learn(net: Network, streams: Iterator[np.ndarray], rate: float, lanes: int = TRAIN_LANES) -> int:
+    """One pass of ``net`` over ``streams``, symbols of whole documents with their ends; returns their number.
 
-def vocabulary(stats: Statistics) -> dict[bytes, int]:
-    return {w: i + 1 for i, w in enumerate(list(stats.frequent)[: VOCABULARY - 1])}
-
-
-def pieces_of(text: str | None, index: dict[bytes, int]) -> Iterator[np.ndarray]:
-    """Symbols of a document and its end in pieces of up to CUT, each after the symbol before it."""
-    before, rest = END, []
-    for words in words_of(text):
-        rest += symbols_of(words, index)
-        for at in range(0, len(rest) - CUT + 1, CUT):
-            yield np.array([before, *rest[at : at + CUT]], np.int32)
-            before = rest[at + CUT - 1]
-        rest = rest[len(rest) // CUT * CUT :]
-    yield np.array([before, *rest, END], np.int32)
-
-
-def learn(net: Network, pieces: Iterator[np.ndarray], rate: float, lanes: int = TRAIN_LANES) -> int:
-    """One pass of ``net`` over ``pieces``, and the number of symbols learned. A lane takes the next piece where one ends; the last window of a lane is filled up by its last piece again."""
-    h, own, at, seen, more = np.zeros((0, net.hidden), np.float32), [], [], 0, True
-    while True:
-        while more and len(own) < lanes:
-            piece = next(pieces, None)
-            more = piece is not None
-            if more:
-                own.append(piece)
-                at.append(0)
-        if len(h) < len(own):
-            h = np.concatenate([h, np.zeros((len(own) - len(h), net.hidden), np.float32)])
-        if not own:
-            net.moments = {}
-            return seen
-        symbols, targets, first = (np.zeros((STEPS, len(own)), kind) for kind in (np.int32, np.int32, bool))
-        ended = np.zeros(len(own), bool)
-        for k in range(len(own)):
-            t = 0
-            while t < STEPS:
-                if at[k] == len(own[k]) - 1:
-                    piece = next(pieces, None) if more else None
-                    more = piece is not None
-                    if more:
-                        own[k] = piece
-                    ended[k] = not more
-                    at[k] = 0
-                n = min(STEPS - t, len(own[k]) - 1 - at[k])
-                symbols[t : t + n, k] = own[k][at[k] : at[k] + n]
-                targets[t : t + n, k] = own[k][at[k] + 1 : at[k] + 1 + n]
-                first[t, k] |= at[k] == 0
-                seen += 0 if ended[k] else n
-                at[k] += n
-                t += n
-            ended[k] |= not more and at[k] == len(own[k]) - 1
-        h, _ = net.train_window(h, symbols, targets, first, rate)
-        if ended.any():
-            live = np.flatnonzero(~ended)
-            h, own, at = h[live], [own[k] for k in live], [at[k] for k in live]
+    About BLOCK symbols at a time are cut into ``lanes`` parts of equal length that are read side by
+    side, from window to window. What doesn't fill them up waits for the next block; the last block is
+    filled up from its own start. A part that begins inside a document starts from a state of zeros.
+    """
+    seen, waiting, size = 0, [], 0
+
+    def run(stream: np.ndarray, before: int, lanes: int) -> None:
+        steps = len(stream) // lanes
+        target = stream.reshape(lanes, steps).T
+        symbols = np.concatenate([[before], stream[:-1]]).reshape(lanes, steps).T
+        first = symbols == END
+        h = np.zeros((net.hidden, lanes), np.float32)
+        for at in range(0, steps, STEPS):
+            h, _ = net.train_window(h, symbols[at : at + STEPS], target[at : at + STEPS], first[at : at + STEPS], rate)
+
+    before = END
+    for s in streams:
+        waiting.append(s)
+        size += len(s)
+        seen += len(s)
+        if size >= BLOCK:
+            whole = np.concatenate(waiting)
+            n = size // lanes * lanes
+            run(whole[:n], before, lanes)
+            before, waiting, size = int(whole[n - 1]), [whole[n:]], size - n
+    if size:
+        lanes = max(1, min(lanes, size // STEPS))
+        run(np.resize(np.concatenate(waiting), -(-size // lanes) * lanes), before, lanes)
+    net.moments = {}
+    return seen
 
 
 _SUM = pa.schema([("symbols", pa.int64()), ("weights", pa.binary())])
@@ -356,38 +402,44 @@ def _sum_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     symbols, total = 0, None
     for b in batches:
         for n, w in zip(b.column(0), b.column(1), strict=True):
-            w = np.frombuffer(w.as_py(), np.float64)
-            symbols, total = symbols + n.as_py(), w if total is None else total + w
+            w = np.frombuffer(w.as_buffer(), np.float64)
+            symbols, total = symbols + n.as_py(), w.copy() if total is None else total + w
     if total is not None:
         yield pa.RecordBatch.from_pydict({"symbols": [symbols], "weights": [total.tobytes()]}, schema=_SUM)
 
 
-def learn_rows(rows: DataFrame, net: Network, stats: Statistics, path: str) -> int:
-    """Trains ``net`` on all training rows of ``rows`` (doc_id, text), and returns the number of symbols learned.
+def _streams(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[np.ndarray]:
+    for b in batches:
+        for s in b.column(column):
+            yield np.frombuffer(s.as_buffer(), np.uint16)
+
+
+def learn_rows(encoded: DataFrame, net: Network, path: str) -> int:
+    """Trains ``net`` on all training rows of ``encoded``, and returns the number of symbols learned.
 
-    In each of ROUNDS rounds tasks start from the same weights, each learns from its own rows, and the
-    mean of their weights, by symbols learned, is the next start. Weights are summed in steps, so
-    few of them reach the driver at any number of tasks.
+    In each round tasks start from the same weights, each learns from its own rows, and the mean of
+    their weights, by symbols learned, is the next start. Weights are summed in steps, so few of them
+    reach the driver at any number of tasks.
     """
-    spark, index, seen = rows.sparkSession, vocabulary(stats), 0
-    train = rows.where(~held_out())
-    for i in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((net, index))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=TRAIN_RATE / (1 + i)) -> Iterator[pa.RecordBatch]:
-            start, index = shared.value
-            own = Network(*(getattr(start, k).copy() for k in _WEIGHTS))
-            n = learn(own, (p for b in batches for t in b.column(0) for p in pieces_of(t.as_py(), index)), rate)
+    spark, seen, dealt = encoded.sparkSession, 0, 0
+    place = F.pmod(F.xxhash64("rid", "n_tokens"), F.lit(sum(ROUNDS)))
+    for i, share in enumerate(ROUNDS):
+        shared = spark.sparkContext.broadcast(net)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=RATE / (1 + i)) -> Iterator[pa.RecordBatch]:
+            own = Network(*(getattr(shared.value, k).copy() for k in _WEIGHTS))
+            n = learn(own, _streams(batches), rate)
             if n:
                 weights = np.concatenate([getattr(own, k).ravel() for k in _WEIGHTS]).astype(np.float64) * n
                 yield pa.RecordBatch.from_pydict({"symbols": [n], "weights": [weights.tobytes()]}, schema=_SUM)
 
-        dealt = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == i).select("text")
-        sums = stored(dealt.mapInArrow(run, "symbols long, weights binary"), f"{path}/weights{i}")
+        rows = encoded.where(~F.col("held_out") & (place >= dealt) & (place < dealt + share)).select("symbols")
+        sums = stored(rows.mapInArrow(tidy(run), "symbols long, weights binary"), f"{path}/weights{i}")
+        dealt += share
         left = sums.count()
         while left > 16:
             left = int(np.ceil(np.sqrt(left)))
-            sums = sums.repartition(left).mapInArrow(_sum_of, "symbols long, weights binary")
+            sums = sums.repartition(left).mapInArrow(tidy(_sum_of), "symbols long, weights binary")
         parts = sums.collect()  # 16 at most
         n, at = sum(p["symbols"] for p in parts), 0
         if n:
@@ -400,84 +452,108 @@ def learn_rows(rows: DataFrame, net: Network, stats: Statistics, path: str) -> i
     return seen
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
-_ROW_DDL = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, times: bigint>>"
+_RARE = pa.struct([("word", pa.binary()), ("times", pa.int64())])
+_ENCODED_DDL = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, tail double, symbols binary, rare array<struct<word: binary, times: bigint>>"
+_SCORED_DDL = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def _score(shared):
+def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, stats = shared.value
-        words = list(stats.frequent)
-        index = {w: i + 1 for i, w in enumerate(words)}
+        stats = shared.value
+        frequent = pa.array(list(stats.frequent), pa.binary())
         logs = np.log10(np.array([stats.documents, *stats.frequent.values()], float) + 1)  # by index; the end first
         tail_log = np.log10(np.array(stats.tail_tokens, float) + np.array(stats.tail_kinds, float) + 1)
         total_log, known_end = np.log10(stats.tokens + stats.kinds + 1.0), int(stats.documents > 0)
-        n_words = len(words) + 1
+        for b in batches:
+            every, n = split_words(b.column(3))
+            coded = every.dictionary_encode()
+            words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            found = pc.fill_null(pc.index_in(words, value_set=frequent), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1  # 0: not frequent
+            named = (found > 0) & (found < VOCABULARY)
+            kind = tails_of(words)
+            symbol = np.where(named, found, VOCABULARY + kind).astype(np.uint16)
+            log = np.where(found > 0, logs[found], 0.0)
+            far = np.where(named, 0.0, log - tail_log[kind])
+            ends = np.cumsum(n)
+            owner = np.repeat(np.arange(len(n)), n)
+            total = lambda per_word, owner=owner, codes=codes, n=n: np.bincount(owner, per_word[codes], len(n))
+            symbols = np.insert(symbol[codes], ends, END).astype("<u2")
+            bounds = (2 * np.concatenate([[0], ends + np.arange(1, len(n) + 1)])).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(symbols.tobytes())])
+            rare = np.flatnonzero((found == 0)[codes])
+            pair, times = np.unique(owner[rare] * np.int64(max(len(words), 1)) + codes[rare], return_counts=True)
+            offsets = np.searchsorted(pair // max(len(words), 1), np.arange(len(n) + 1)).astype(np.int32)
+            values = pa.StructArray.from_arrays([words.take(pa.array(pair % max(len(words), 1))), pa.array(times, pa.int64())], fields=list(_RARE))
+            columns = [
+                b.column(0), b.column(1), b.column(2), pa.array(n + 1, pa.int64()), pa.array((total((found > 0).astype(float)) + known_end).astype(np.int64)),
+                pa.array(total(log) + logs[END] - (n + 1) * total_log), pa.array(total(far)), packed, pa.ListArray.from_arrays(pa.array(offsets), values),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "tail", "symbols", "rare"])
+
+    return run
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
 
-        def flush(keys: list, streams: list, parts: list) -> pa.RecordBatch:
-            nat = net.score(streams) / np.log(10)
-            rows: dict[str, list] = {k: [] for k in _ROW.names}
-            for (doc_id, rid, held), p, (n, known, base, tail, rare) in zip(keys, nat, parts, strict=True):
-                for k, v in zip(_ROW.names, (doc_id, rid, held, n, known, base, float(p) + tail, [{"word": w, "times": c} for w, c in rare.items()]), strict=True):
-                    rows[k].append(v)
-            return pa.RecordBatch.from_pydict(rows, schema=_ROW)
+        def flush(rows: list[pa.RecordBatch], streams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nat, at = net.score(streams) / np.log(10), 0
+            for b in rows:
+                score = nat[at : at + len(b)] + b.column(6).to_numpy()
+                at += len(b)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(score)], names=["doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "score"])
 
+        rows, streams, size = [], [], 0
         for b in batches:
-            keys, streams, parts, size = [], [], [], 0
-            for doc_id, rid, held, text in zip(*(b.column(i) for i in range(4)), strict=True):
-                pieces, rare = [], Counter()
-                for ws in words_of(text.as_py()):
-                    found = np.fromiter((index.get(w, 0) for w in ws), np.int32, len(ws))  # 0: not frequent
-                    tails = np.flatnonzero((found == 0) | (found >= VOCABULARY))
-                    own = found.copy()
-                    own[tails] = [VOCABULARY + tail_of(ws[i]) for i in tails]
-                    pieces.append((found, own))
-                    rare.update([ws[i] for i in np.flatnonzero(found == 0)])
-                found = np.concatenate([p[0] for p in pieces]) if pieces else np.zeros(0, np.int32)
-                own = np.concatenate([*(p[1] for p in pieces), [END]]).astype(np.int32)
-                n = len(own)
-                far = found[found >= VOCABULARY]
-                in_tail = np.bincount(own[own >= VOCABULARY] - VOCABULARY, minlength=TAILS)
-                base = float(logs[found[found > 0]].sum() + logs[END]) - n * total_log
-                tail = float(logs[far].sum() - (in_tail * tail_log).sum())
-                keys.append((doc_id.as_py(), rid.as_py(), held.as_py()))
-                streams.append(own)
-                parts.append((n, int((found > 0).sum()) + known_end, base, tail, rare))
-                size += n
-                if size > 1_500_000 or len(keys) >= 4 * LANES:
-                    yield flush(keys, streams, parts)
-                    keys, streams, parts, size = [], [], [], 0
-            if keys:
-                yield flush(keys, streams, parts)
-        assert n_words == len(logs)
+            rows.append(b)
+            streams += _streams([b], 7)
+            size += sum(map(len, streams[-len(b) :])) if len(b) else 0
+            if size >= AT_ONCE:
+                yield from flush(rows, streams)
+                rows, streams, size = [], [], 0
+        yield from flush(rows, streams)
 
     return run
 
 
-def score_documents(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text; other columns are ignored).
-
-    A null or empty text is the end alone. Without training rows every count is zero: the base is 0
-    for each token, and the network is the even law. Repeated rows are each scored, and equally.
-    """
-    spark = docs.sparkSession
-    path = path or scratch(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def trained(rows: DataFrame, path: str) -> tuple[DataFrame, Statistics, DataFrame, Network]:
+    """From ``rows`` (doc_id, text): the table of training words, its statistics, all rows as symbols, and the network."""
+    spark = rows.sparkSession
     counts, stats = count_words(rows, path)
-    short = rows.where(~held_out()).where(F.coalesce(F.length("text"), F.lit(0)).between(1, SAMPLE_CHARS))
-    texts = [r["text"] for r in short.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select("text").collect()]
-    net = train_network(texts, stats)
-    learn_rows(rows, net, stats, path)
-    shared = spark.sparkContext.broadcast((net, stats))  # FREQUENT words and a fixed network
+    known = spark.sparkContext.broadcast(stats)  # FREQUENT words at most
     keyed = rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), held_out().alias("held_out"), "text")
-    scored = stored(keyed.mapInArrow(_score(shared), _ROW_DDL), f"{path}/scored")
-    rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times").join(counts, "word")
+    encoded = stored(keyed.mapInArrow(tidy(_encode(known)), _ENCODED_DDL), f"{path}/encoded")
+    net = Network.of(stats)
+    learn_rows(encoded, net, path)
+    return counts, stats, encoded, net
+
+
+def scored(counts: DataFrame, stats: Statistics, encoded: DataFrame, net: Network, path: str) -> DataFrame:
+    """The scores of what ``trained`` returns."""
+    shared = encoded.sparkSession.sparkContext.broadcast(net)
+    streams = encoded.select("doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "tail", "symbols")
+    rows = stored(streams.mapInArrow(tidy(_score(shared)), _SCORED_DDL), f"{path}/scored")
+    rare = encoded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times").join(counts, "word")
     rare = rare.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_log"), F.sum("times").alias("_known"))
     more = F.coalesce("_log", F.lit(0.0))
-    return scored.drop("rare").join(rare, "rid", "left").select(
+    return rows.join(rare, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(stats.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
     )
 
 
+def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    A null or empty text is the end alone. A very long text is one row of symbols, trained on and
+    scored whole. Without training rows every count is zero: the base is 0 for each token, and the
+    network is the even law. Repeated rows are each scored, and equally. No rows give no scores.
+    """
+    path = path or scratch(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scored(*trained(rows, path), path)
+
+
 def language_model_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``score_documents`` over all of ``docs``, with the module's parameters."""
     return score_documents(docs)
