@@ -71,12 +71,95 @@ def test_a_repeated_article_stays(spark):
     assert {r["text"] for r in got} == {"the same on all"}
 
 
+def test_the_tree_removes_what_articles_share(spark):
+    """Boilerplate inside of articles, in an element whose class says nothing: the tree alone knows it."""
+    body = "<article><header><h1>Title {0}</h1></header><p>Words of {0} are its own and the longest block.</p><div class='x9'>Thanks for reading.</div><p>End {0}</p></article>"
+    rows = [(i, f"http://h.example/{i}", body.format(i)) for i in range(20)] + [(50, "http://other.example/", body.format(50))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = lambda i, extra=(): "\n\n".join([f"Title {i}", f"Words of {i} are its own and the longest block.", *extra, f"End {i}"])
+    got = {r["page_id"]: r["text"] for r in st.extract(pages).collect()}
+    assert got == {i: want(i) for i in range(20)} | {50: want(50, ["Thanks for reading."])}
+    off = {r["page_id"]: r["text"] for r in st.extract(pages, threshold=-1.0, marked=-1.0).collect()}
+    assert off == {i: want(i, ["Thanks for reading."]) for i in [*range(20), 50]}
+
+
+def test_copies_of_an_article_count_once(spark):
+    """Near copies on pages that differ elsewhere: no headline goes because they share it."""
+    rows = [(i, f"http://h.example/{i}", f"<nav>{i}</nav><article><h1>One title</h1><p>The same long paragraph on every page.</p><p>p{i}</p></article>") for i in range(30)]
+    got = st.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"One title\n\nThe same long paragraph on every page.\n\np{r['page_id']}" for r in got)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header><h1>Head</h1></header><p>Body</p></article>", ["Head", "Body"]),
+        ("<article><div class='article-header'>Head</div><p class='menu-item-desc'>Soup</p><div class='menu'>x</div></article>", ["Head", "Soup"]),
+        ("<main><p>Main body</p></main><div><article><p>Teaser of another page</p></article></div>", ["Main body"]),
+        ("<article><p>Long text of the article</p></article><div><article>c1</article><article>c2</article></div>", ["Long text of the article"]),
+        ("<article><p>Text</p><div><article>a comment</article></div></article>", ["Text"]),
+        ("<main><h1>T</h1><article>one</article><article>two</article></main>", ["T", "one", "two"]),
+        ("<article><article>inner</article></article>", ["inner"]),
+        ("<header>Site</header><p>no marks</p><div class='header'>x</div>", ["no marks"]),
+        ("<div>" * 250 + "<nav>menu</nav><p>hello</p>", ["hello"]),
+        ("<p title='a>b' data-x=\"it's\">quoted</p>", ["quoted"]),
+        ("<p it's>apostrophe</p><p>next</p>", ["apostrophe", "next"]),
+    ],
+)
+def test_roles(page, want):
+    assert st.main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize("piece", ["<div ", "<div '", "<a b=\"", "<b>", "</b>", "<b><td>", "<i></b>", "<!--", "<![CDATA[", "<", "<p", "<script>", "<title></title", "<div>", "<li>", "&", "<td></i>", "<article>"])
+def test_long_broken_markup_takes_linear_time(piece):
+    import time
+
+    page = "<b>x" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    st.main_text(page)
+    took = time.process_time() - began
+    assert took < 15, took
+
+
 def test_importance():
-    nodes = [("", 10, 1, 0.0, None), ("/a", 10, 1, 0.0, 0.0), ("/b", 10, 5, 0.7, None), ("/b/c", 10, 1, 0.0, 1.0)]
+    nodes = [(0, 0, 1, 0.0, None, 0), (1, 0, 1, 0.0, 0.0, 0), (2, 0, 5, 0.7, None, 0), (3, 2, 1, 0.0, 1.0, 0), (4, 0, 1, 0.0, None, 2)]
     imp = st.importances(nodes)
-    assert imp["/a"] == 0 and imp["/b/c"] == 1
-    assert imp["/b"] == pytest.approx((1 - 0.9**5) * 0.7 + 0.9**5)
-    assert imp[""] == pytest.approx(0.9 * (imp["/b"] + 0) / 2)
+    assert imp[1] == 0 and imp[3] == 1 and imp[4] == pytest.approx(0.9)
+    assert imp[2] == pytest.approx((1 - 0.9**5) * 0.7 + 0.9**5)
+    assert imp[0] == pytest.approx(0.9 * (imp[2] + imp[4] + 0) / 3)
+
+
+def plain_tree(pages):
+    """Importances of a host by the definition, from all nodes of its pages, those of one page included."""
+    from collections import Counter, defaultdict
+    from math import log2
+
+    values, parent = defaultdict(Counter), {}
+    for rows in {p: r for p, r in sorted(map(st.page_rows, pages), key=str)}.values():
+        for r in rows:
+            values[r["node"], r["kind"]][r["value"]] += 1
+            parent[r["node"]] = r["parent"]
+
+    def entropy(c):
+        m = sum(c.values())
+        return 1.0 if m <= 1 else sum(-n / m * log2(n / m) for n in c.values()) / log2(m)
+
+    def imp(n):
+        kids = [imp(k) for k, p in parent.items() if p == n and k != n]
+        styles = values[n, "s"]
+        leaf = entropy(values[n, "c"]) if values[n, "c"] else None
+        w = 0.9 ** len(styles)
+        inner = (1 - w) * entropy(styles) + w * sum(kids) / len(kids) if kids else None
+        return max(x for x in (inner, leaf, 0.0 if kids or leaf is not None else entropy(styles)) if x is not None)
+
+    return {n: imp(n) for n in parent if sum(values[n, "s"].values()) > 1}
+
+
+def test_statistics_equal_the_definition(spark):
+    pages = [page(i, f"own {i}") + "<div class='k%d'>x</div>" % i * (i % 3) for i in range(9)] + [page(1, "own 1")]
+    stats = st.node_statistics(spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(3)).collect()
+    got = st.importances([(r["node"], r["parent"], r["styles"], r["own"], r["leaf"], r["single"]) for r in stats])
+    assert got == pytest.approx(plain_tree(pages))
 
 
 def test_no_rows(spark):
