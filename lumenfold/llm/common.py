@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import session
 
-__all__ = ["TEXT_ROWS", "give_back", "in_files", "running_starts", "scratch", "stored", "table", "tidy"]
+__all__ = ["TEXT_ROWS", "give_back", "in_files", "running_starts", "sampled", "scratch", "stored", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,12 @@ def stored(df: DataFrame, path: str, batch_rows: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """About ``most`` rows of ``df``, chosen by a hash of ``keys``; all of them if there are no more. Rows with equal keys stay together."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < (most << 40) // n)
+
+
 def in_files(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
     """``df``, of at most ``rows`` short rows, in as few partitions as hold ``each`` rows: no table of many tiny files."""
     return df.coalesce(max(1, -(-rows // each)))

@@ -12,6 +12,7 @@ holds doesn't grow with their number.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Edits allowed for each character of an item, and the shortest item, in normalized characters.
+from .common import tidy
+
+#: Edits allowed for each character of an item. An item under SHORTEST normalized characters allows none, and must stand between word boundaries.
 RATE, SHORTEST = 0.08, 30
-#: No piece is shorter; a longer budget than pieces of this length allow is lowered.
-PIECE = 10
+#: No piece is shorter. From SHORTEST characters on RATE never asks for shorter ones.
+PIECE = 8
 #: Characters of items in one automaton.
 BLOCK = 1 << 20
 _SPACES = re.compile(r"\s+")
@@ -34,8 +37,8 @@ def normal(text: str | None) -> str:
     return _SPACES.sub(" ", (text or "").lower()).strip()
 
 
-def budget(n: int, rate: float = RATE, piece: int = PIECE) -> int:
-    return max(0, min(int(n * rate), n // piece - 1))
+def budget(n: int, rate: float = RATE, piece: int = PIECE, shortest: int = SHORTEST) -> int:
+    return 0 if n < shortest else max(0, min(int(n * rate), n // piece - 1))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -82,13 +85,13 @@ class Myers:
 class Matcher:
     """Items of one block: (item_id, normalized text)."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, piece: int = PIECE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, piece: int = PIECE, shortest: int = SHORTEST):
         import ahocorasick
 
-        self.items = []
+        self.items, self.shortest = [], shortest
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
-            k = budget(len(text), rate, piece)
+            k = budget(len(text), rate, piece, shortest)
             for start, p in pieces(text, k):
                 found[p].append((len(self.items), start))
             self.items.append((item_id, text, k, Myers(text)))
@@ -107,6 +110,8 @@ class Matcher:
             at = last - size + 1
             for i, start in where:
                 _, item, k, _ = self.items[i]
+                if len(item) < self.shortest and (text[at - 1 : at].isalnum() and item[0].isalnum() or text[last + 1 : last + 2].isalnum() and item[-1].isalnum()):
+                    continue
                 a, b = max(0, at - start - k), min(len(text), at - start + len(item) + k)
                 own = spans[i]
                 if own and a <= own[-1][1]:  # hits come in order, so windows of an item merge as they come
@@ -128,18 +133,18 @@ class Matcher:
         return out
 
 
-def item_blocks(benchmark: DataFrame, shortest: int = SHORTEST, block: int = BLOCK) -> list[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> list[list[tuple[int, str]]]:
     """Distinct normalized items in blocks of at most ``block`` characters (an item that is longer is alone).
 
-    Null, empty and items under ``shortest`` characters are no evidence and are left out. Items come
-    to the driver one partition at a time; of equal texts each item_id is kept.
+    Null and empty items hold nothing to find and are left out. Items come to the driver one
+    partition at a time; of equal texts each item_id is kept.
     """
     out: list[list[tuple[int, str]]] = []
     size = block
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         text = normal(r["text"])
-        if len(text) < shortest:
+        if not text:
             continue
         if size + len(text) > block:
             out.append([])
@@ -149,28 +154,36 @@ def item_blocks(benchmark: DataFrame, shortest: int = SHORTEST, block: int = BLO
     return out
 
 
-_MATCHERS: dict[int, Matcher] = {}
+_MATCHERS: dict[tuple, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[int, str]], rate: float, piece: int, shortest: int) -> Matcher:
+    """The matcher of a block, made once in each Python worker; ``name`` tells blocks apart, and the last one is kept."""
+    key = (name, rate, piece, shortest)
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items, rate, piece, shortest)
+    return _MATCHERS[key]
+
+
 HIT = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("match_start", pa.int64()), ("match_end", pa.int64())])
 HITS_DDL = "array<struct<item_id: bigint, distance: int, match_start: bigint, match_end: bigint>>"
 
 
-def with_hits(docs: DataFrame, items: list[tuple[int, str]], rate: float = RATE, piece: int = PIECE) -> DataFrame:
+def with_hits(docs: DataFrame, items: list[tuple[int, str]], rate: float = RATE, piece: int = PIECE, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with a column ``_hits``: for each row the items of this block that its text holds."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK characters
-    names = docs.columns
+    names, name = docs.columns, uuid.uuid4().hex
     at = names.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(shared.value) not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[id(shared.value)] = Matcher(shared.value, rate, piece)
-        m = _MATCHERS[id(shared.value)]
+        m = _matcher(name, shared.value, rate, piece, shortest)
         for b in batches:
             hits = [[dict(zip(("item_id", "distance", "match_start", "match_end"), h, strict=True)) for h in m.matches(normal(t.as_py()))] for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(HIT))], names=[*names, "_hits"])
 
-    return docs.mapInArrow(run, f"{fields}, `_hits` {HITS_DDL}")
+    return docs.mapInArrow(tidy(run), f"{fields}, `_hits` {HITS_DDL}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, piece: int = PIECE, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
@@ -178,14 +191,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, piec
 
     doc_id, item_id, distance (least edits), match_end and match_start (in the normalized text: the
     end of the best match, and the item's length before it), item_chars. An item of n characters
-    allows ``rate`` * n edits, fewer if pieces would be under ``piece`` characters. Null and empty
-    texts hold nothing; repeated rows are each reported; extra columns are ignored.
+    allows ``rate`` * n edits, fewer if pieces would be under ``piece`` characters; one of under
+    ``shortest`` allows none, and no letter or digit may go on at its ends. Null and empty texts hold
+    nothing, very long ones are scanned whole; repeated rows are each reported; extra columns are
+    ignored. No documents or no items give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
-    for items in item_blocks(benchmark, shortest, block):
+    for items in item_blocks(benchmark, block):
         lengths = docs.sparkSession.createDataFrame([(i, len(t)) for i, t in items], "item_id long, item_chars int").distinct()
-        hits = with_hits(rows, items, rate, piece).where(F.size("_hits") > 0).select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.*")
+        hits = with_hits(rows, items, rate, piece, shortest).where(F.size("_hits") > 0).select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.*")
         parts.append(hits.join(F.broadcast(lengths.groupBy("item_id").agg(F.max("item_chars").alias("item_chars"))), "item_id"))
     if not parts:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, match_start long, match_end long, item_chars int")
@@ -195,11 +210,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, piec
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, piece: int = PIECE, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that hold no item of ``benchmark``, with all their columns. Blocks filter one after another; nothing is shuffled."""
     names = docs.columns
-    for items in item_blocks(benchmark, shortest, block):
+    for items in item_blocks(benchmark, block):
         inner = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-        docs = with_hits(inner, items, rate, piece).where(F.size("_hits") == 0).select("_row.*")
+        docs = with_hits(inner, items, rate, piece, shortest).where(F.size("_hits") == 0).select("_row.*")
     return docs
 
 
 def decontamination_query(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contaminated`` over all of both tables, with the module's parameters."""
     return contaminated(docs, benchmark)

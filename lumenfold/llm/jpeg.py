@@ -489,7 +489,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_media(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_bytes, media (a baseline JPEG) of each row of ``docs`` (doc_id, text; other columns are ignored), as a table at ``path``. A null text is empty: one block of zeros."""
+    """doc_id, n_bytes, media (a baseline JPEG) of each row of ``docs`` (doc_id, text; other columns are ignored), as a table at ``path``.
+
+    A null text is empty: one block of zeros. A very long text is one image of many blocks. Repeated
+    rows are each stored, equal texts equally; no rows give an empty table.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), path)
 
@@ -500,4 +504,5 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def media_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Store all of ``docs`` as images, read them back, and describe each by what was read."""
     return media_features(store_media(docs, scratch(spark) + "/media"))

@@ -11,42 +11,52 @@ from .common import table
 
 
 def op1_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Odd rows and empty tables: as its operator states."""
     return site_tree.site_tree_query(spark, table(spark, sf_dir, "pages"))
 
 
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from archives of segmented records. Odd rows and empty tables: as its operator states."""
     return warc.warc_query(spark, table(spark, sf_dir, "pages"))
 
 
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read back from a baseline JPEG, with dimensions and thumbnail hashes. Odd rows and empty tables: as its operator states."""
     return jpeg.media_query(spark, table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Odd rows and empty tables: as its operator states."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences along the curve. Odd rows and empty tables: as its operator states."""
     return curve_pack.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read back from the content-addressed store. Odd rows and empty tables: as its operator states."""
     return token_store.token_store_query(spark, table(spark, sf_dir, "documents"))
 
 
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document. Odd rows and empty tables: as its operator states."""
     return rule_ensemble.quality_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_edit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the benchmark items that it holds. Odd rows and empty tables: as its operator states."""
     return edit_match.decontamination_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url. Odd rows and empty tables: as its operator states."""
     return url_filter.url_query(spark, table(spark, sf_dir, "pages"))
 
 
 def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document. Odd rows and empty tables: as its operator states."""
     return gru_lm.language_model_query(spark, table(spark, sf_dir, "documents"))
 
 

@@ -14,10 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import sampled, scratch, stored
 from .trees import Boosted, Node, boost
 
-#: Labelled rows that the rules are fitted on, the first by a hash of doc_id.
+#: Labelled rows that the rules are fitted on, about, chosen by a hash of doc_id.
 SAMPLE = 20_000
 THRESHOLD = 0.7
 STATISTICS = ["n_words", "mean_word", "upper", "shouts", "symbol_runs", "bars", "digits", "stops", "repeated_words", "repeated_lines", "words_a_line", "other_marks"]
@@ -31,8 +31,8 @@ def with_statistics(docs: DataFrame, *more: Column) -> DataFrame:
     counted = base.select(
         "doc_id", "_more", F.length(text).cast("double").alias("chars"), count(r"\S+").alias("words"), count(r"\p{Lu}").alias("_upper"), count("!").alias("_shouts"), count(r"[*%&#$@^~=]{3}").alias("_runs"),
         count(r"\|").alias("_bars"), count("[0-9]").alias("_digits"), count("[.,;:?]").alias("_stops"), count(r"[^\p{L}\p{N}\s.,;:?!|'\"()\-]").alias("_other"),
-        # A word like the one before it. The length is bounded so that an endless word costs no more.
-        count(r"(?<!\S)(\S{1,60})(?=\s{1,8}\1(?!\S))").alias("_again"),
+        # A word like the one before it. Nothing is given back once matched, so an endless word is read once.
+        count(r"(?<!\S)(\S++)(?=\s++\1(?!\S))").alias("_again"),
         F.size(F.split(text, "\n")).cast("double").alias("lines"), F.size(F.array_distinct(F.split(text, "\n"))).cast("double").alias("_kinds"),
     )
     chars, words = F.greatest("chars", F.lit(1.0)), F.greatest("words", F.lit(1.0))
@@ -140,23 +140,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, quality of at most ``sample`` labelled ids that are not held out. Of several labels of one id the largest holds."""
+    """doc_id, quality of about ``sample`` labelled ids at most that are not held out. Of several labels of one id the largest holds."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("quality"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return sampled(known, ["doc_id"], sample)
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Ensemble:
-    """Fit on ``rows`` (doc_id, quality, STATISTICS), at most ``sample`` of them."""
-    rows = rows.select("doc_id", "quality", *STATISTICS).orderBy(F.xxhash64("doc_id"), *STATISTICS).limit(sample).collect()
-    data = np.array([tuple(r)[1:] for r in rows], float).reshape(-1, 1 + len(STATISTICS))
+    """Fit on ``rows`` (doc_id, quality, STATISTICS), about ``sample`` of them at most."""
+    rows = sampled(rows, ["doc_id", *STATISTICS], sample).select("quality", *STATISTICS).collect()
+    data = np.array([tuple(r) for r in rows], float).reshape(-1, 1 + len(STATISTICS))
+    data = data[np.lexsort(data.T)]  # the same rules whatever the order of the rows
     return fit(data[:, 1:], (data[:, 0] > 0.5).astype(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Null and empty texts are scored by their statistics, which are zeros. Rows with equal texts have
-    equal scores. Without labels every score is 0.5.
+    Null and empty texts are scored by their statistics, which are zeros; very long ones by those of
+    the whole text. Rows with equal texts have equal scores, repeated rows are all scored. Without
+    labels every score is 0.5. No rows give no scores.
     """
     path = path or scratch(docs.sparkSession)
     statistics = stored(with_statistics(docs), f"{path}/statistics")
@@ -165,6 +167,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
 
 
 def quality_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score_documents`` over all of ``docs``, with the module's parameters."""
     return score_documents(docs, labels)
 
 

@@ -7,10 +7,12 @@ folder:
 ``chunks``    digest, n_ids, payload: every distinct chunk once, its ids zstd-compressed.
 ``recipes``   doc_id, start, n_tokens, digests, lengths, root, ...: what each document is made of,
               in ascending doc_id order; ``root`` is the Merkle root over its chunk digests.
-``manifest``  one row for each part of the recipes: counts, the first start, and a root over its
-              documents' roots.
+``manifest``  one row for each part of the recipes: counts, the first start, and the Merkle root over
+              its documents' roots in order; and one for the store (part -1), whose root is over
+              those of its parts.
 
-Reading recomputes every digest from the stored ids, every root from the digests, and compares.
+Reading recomputes every digest from the stored ids, every root from the digests, every part's and
+the store's root from those, and compares; what is missing on either side raises.
 """
 
 from __future__ import annotations
@@ -126,7 +128,7 @@ _ENCODED_DDL = "doc_id long, rid long, n_tokens long, digests binary, lengths bi
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, cutter: Cutter | None = None) -> None:
     """Encode ``docs`` (doc_id, text; other columns are ignored) into a store at ``path``.
 
-    Null texts are empty and hold the end id only. Rows with one doc_id, or a null doc_id, are all
+    Null texts are empty and hold the end id only; very long ones are many chunks. Rows with one doc_id, or a null doc_id, are all
     kept, in any order among themselves; nulls come first. An empty table gives an empty store.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
@@ -136,11 +138,26 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     stored(fresh.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")), f"{path}/chunks")
     recipes = running_starts(encoded.drop("fresh"), ["doc_id", "rid"], "n_tokens", f"{path}/ordered")
     recipes = stored(recipes, f"{path}/recipes")
-    stored(_manifest(recipes), f"{path}/manifest")
+    stored(docs.sparkSession.createDataFrame(manifest(recipes), _MANIFEST_DDL).coalesce(1), f"{path}/manifest")
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("first_start"), F.bit_xor(F.xxhash64("root", "start")).alias("root"))
+_MANIFEST_DDL = "part long, n_docs long, n_tokens long, first_start long, root binary"
+
+
+def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        roots = []
+        for places in b.column(4):
+            roots.append(merkle_root([p["root"] for p in places.as_py()]))
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(roots, pa.binary())], names=["part", "n_docs", "n_tokens", "first_start", "root"])
+
+
+def manifest(recipes: DataFrame) -> list[tuple]:
+    """(part, n_docs, n_tokens, first_start, root) of each part of ``recipes`` in order, and of the whole as part -1. A part is what one task wrote."""
+    place = F.sort_array(F.collect_list(F.struct("start", "root"))).alias("places")
+    parts = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("first_start"), place)
+    rows = sorted((r["part"], r["n_docs"], r["n_tokens"], r["first_start"], bytes(r["root"])) for r in parts.mapInArrow(tidy(_part_roots), _MANIFEST_DDL).collect())
+    return [(-1, sum(r[1] for r in rows), sum(r[2] for r in rows), 0, merkle_root([r[4] for r in rows])), *rows]
 
 
 def _crc_tables() -> np.ndarray:
@@ -223,12 +240,13 @@ def read_store(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
     from those of its chunks, each taken over the ids read from the chunk, so no ids are shuffled.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
-    wrong = _manifest(recipes).exceptAll(spark.read.parquet(f"{path}/manifest")).limit(1).count()
-    if wrong:
+    # A row for each part, on both sides.
+    if manifest(recipes) != sorted((r["part"], r["n_docs"], r["n_tokens"], r["first_start"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/manifest").collect()):
         raise ValueError("the manifest doesn't match the recipes")
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_read_chunks(dtype), "digest binary, crc long, n_ids int")
     wanted = recipes.select("doc_id", "start", "n_tokens", "rid", "digests", "lengths", "root").mapInPandas(_read_recipes, "doc_id long, start long, n_tokens long, rid long, n_chunks int, digest binary, ids_after long")
-    found = wanted.join(chunks, "digest").select("doc_id", "start", "n_tokens", "rid", "n_chunks", "ids_after", "crc", "n_ids")
+    crc = F.when(F.col("crc").isNull(), F.raise_error(F.lit("a chunk is missing")).cast("long")).otherwise(F.col("crc"))
+    found = wanted.join(chunks, "digest", "left").select("doc_id", "start", "n_tokens", "rid", "n_chunks", "ids_after", crc.alias("crc"), "n_ids")
     moved = found.mapInPandas(_shift, "doc_id long, start long, n_tokens long, rid long, n_chunks int, crc long, n_ids int")
     docs = moved.groupBy("doc_id", "start", "n_tokens", "rid").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n_ids").alias("_ids"), F.count(F.lit(1)).alias("_n"), F.first("n_chunks").alias("_want"))
     whole = (F.col("_n") == F.col("_want")) & (F.col("_ids") == F.col("n_tokens"))
@@ -239,7 +257,8 @@ def read_ids(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
     """doc_id, start and the whole ids of each document as array<int>, put together from its chunks."""
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload")
     wanted = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "rid", "digests", "lengths", "root").mapInPandas(_read_recipes, "doc_id long, start long, n_tokens long, rid long, n_chunks int, digest binary, ids_after long")
-    parts = wanted.join(chunks, "digest").groupBy("doc_id", "start", "rid").agg(F.sort_array(F.collect_list(F.struct((-F.col("ids_after")).alias("at"), "payload"))).alias("parts"))
+    payload = F.when(F.col("payload").isNull(), F.raise_error(F.lit("a chunk is missing")).cast("binary")).otherwise(F.col("payload"))
+    parts = wanted.join(chunks, "digest", "left").withColumn("payload", payload).groupBy("doc_id", "start", "rid").agg(F.sort_array(F.collect_list(F.struct((-F.col("ids_after")).alias("at"), "payload"))).alias("parts"))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -252,6 +271,7 @@ def read_ids(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
 
 
 def token_store_query(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Store all of ``docs``, read the store back, and describe each document by what was read."""
     path = scratch(spark)
     write_store(docs, path, tokenizer)
     return read_store(spark, path)

@@ -24,7 +24,7 @@ _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?*$%&#|()-"
 _PLAIN = f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$"
 _WORD = re.compile(f"[{_LETTERS}]+")
 #: Bytes of text that are encoded at once.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 8 << 20
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:

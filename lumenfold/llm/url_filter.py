@@ -1,10 +1,9 @@
 """URL filter: host and path rules, and boosted trees on lexical features for what no rule covers.
 
 All row work is DataFrame expressions. The trees are fitted on the driver over a bounded sample of
-labelled URLs and compiled to a column. No page of this data comes labelled, so labels are distant
-supervision: a host that holds a word of a seed lexicon is an example to block, any other one to
-allow. The words themselves are no features, so the trees learn what such hosts look like: hyphens,
-length, entropy, suffix.
+labelled URLs and compiled to a column. Labels are a table of URLs, or else the verdicts of the
+rules on those URLs that a rule covers; the rules themselves are no features, so the trees carry over
+to other URLs what the covered ones look like.
 """
 
 from __future__ import annotations
@@ -13,15 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sampled, scratch, stored
 from .trees import Boosted, boost, margin_column
 
 #: Fixed by the query's contract: verdict, rule.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Words of hosts that sell, gamble or track.
-SEED_WORDS = ["ads", "advert", "banner", "bet", "bets", "casino", "cheap", "click", "farm", "free", "loan", "pills", "poker", "porn", "promo", "spam", "track", "viagra", "win", "xxx"]
-#: Labelled URLs that the trees are fitted on, the first by a hash of the URL.
+#: Labelled URLs that the trees are fitted on, about, chosen by a hash of the URL.
 SAMPLE = 20_000
-FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_hyphens", "f_entropy", "f_params", "f_query_len", "f_upper", "f_longest_label", "f_suffix_len", "f_suffix_rate", "f_https", "f_vowels"]
+FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_hyphens", "f_entropy", "f_params", "f_query_len", "f_upper", "f_longest_label", "f_suffix_len", "f_suffix_rate", "f_folder_len", "f_folder_rate", "f_https", "f_vowels"]
 
 
 def _lower(c: Column) -> Column:
@@ -56,64 +54,70 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("double")
 
 
-def with_features(df: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Lexical features of url, host and path. ``suffixes`` (suffix, f_suffix_rate): how rare a host suffix is."""
+def _suffix() -> Column:
+    return F.element_at(F.split("host", r"\."), -1)
+
+
+def _folder() -> Column:
+    """The path's first folder; empty without one."""
+    return F.regexp_extract("path", r"(?s)^/([^/]*)/", 1)
+
+
+def with_features(df: DataFrame, suffixes: DataFrame, folders: DataFrame) -> DataFrame:
+    """Lexical features of url, host and path. ``suffixes`` (suffix, f_suffix_rate) and ``folders`` (folder, f_folder_rate): how rare the end of a host and the start of a path are."""
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     labels = F.split(host, r"\.")
     n = F.greatest(F.length(host), F.lit(1)).cast("double")
     made = df.withColumns(
         {
-            "suffix": F.element_at(labels, -1), "f_len": F.length(url).cast("double"), "f_host_len": F.length(host).cast("double"), "f_path_len": F.length(path).cast("double"),
+            "suffix": _suffix(), "folder": _folder(), "f_folder_len": F.length(_folder()).cast("double"), "f_len": F.length(url).cast("double"), "f_host_len": F.length(host).cast("double"), "f_path_len": F.length(path).cast("double"),
             "f_depth": _count(path, "/[^/]"), "f_labels": F.size(labels).cast("double"), "f_digits": _count(url, "[0-9]") / F.greatest(F.length(url), F.lit(1)), "f_host_digits": _count(host, "[0-9]") / n,
             "f_hyphens": _count(host, "-"), "f_entropy": _entropy(host), "f_params": F.when(F.length(query) == 0, 0.0).otherwise(_count(query, "[&;]") + 1), "f_query_len": F.length(query).cast("double"),
             "f_upper": _count(url, "[A-Z]"), "f_longest_label": F.array_max(F.transform(labels, lambda x: F.length(x))).cast("double"), "f_suffix_len": F.length(F.element_at(labels, -1)).cast("double"),
             "f_https": F.startswith(url, F.lit("https:")).cast("double"), "f_vowels": _count(host, "[aeiou]") / n,
         }
     )
-    return made.join(suffixes, "suffix", "left").withColumn("f_suffix_rate", F.coalesce("f_suffix_rate", F.lit(-20.0))).drop("suffix")
-
-
-def suffix_statistics(parts: DataFrame) -> DataFrame:
-    """suffix, f_suffix_rate: the logarithm of its share of all rows; of suffixes seen in one row in a million at least, so a million at most."""
-    n = parts.groupBy(F.element_at(F.split("host", r"\."), -1).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).where("n * 1000000 >= total").select("suffix", F.log(F.col("n") / F.col("total")).alias("f_suffix_rate"))
+    never = F.lit(-20.0)  # in labelled URLs alone
+    joined = made.join(suffixes, "suffix", "left").join(folders, "folder", "left")
+    return joined.withColumns({"f_suffix_rate": F.coalesce("f_suffix_rate", never), "f_folder_rate": F.coalesce("f_folder_rate", never)}).drop("suffix", "folder")
 
 
-def seed_label(words: list[str] = SEED_WORDS) -> Column:
-    """1 if a label of the host, cut at hyphens, is a seed word."""
-    return F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, words))).cast("int")
+def rates(parts: DataFrame, key: Column, name: str, n: int) -> DataFrame:
+    """``name`` and f_``name``_rate: each value of ``key`` and the logarithm of its share of all ``n`` rows."""
+    return parts.groupBy(key.alias(name)).agg(F.log(F.count(F.lit(1)) / F.lit(float(max(n, 1)))).alias(f"f_{name}_rate"))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Boosted:
-    """Trees for ``labelled`` (FEATURES, label, url): at most ``sample`` distinct URLs, chosen by hash."""
-    rows = labelled.where("label is not null").groupBy("url").agg(F.max("label").alias("label"), *(F.first(f).alias(f) for f in FEATURES))
-    rows = rows.orderBy(F.xxhash64("url"), "url").limit(sample).select("label", *FEATURES).collect()
+def fit(labelled: DataFrame) -> Boosted:
+    """Trees for ``labelled`` (FEATURES, label, url), a bounded sample. A URL counts once; of several labels the largest holds."""
+    rows = labelled.groupBy("url").agg(F.max("label").alias("label"), *(F.first(f).alias(f) for f in FEATURES)).select("label", *FEATURES).collect()
     data = np.array([tuple(r) for r in rows], float).reshape(-1, 1 + len(FEATURES))
+    data = data[np.lexsort(data.T)]  # the same trees whatever the order of the rows
     return boost(data[:, 1:], data[:, 0])
 
 
-def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, sample: int = SAMPLE, path: str | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' chance of block) of each row of ``pages`` (page_id, url).
 
-    ``labelled``: url, label (1: block); default: seed_label over the pages. Other columns are ignored.
-    A null url or one without ``://`` has an empty host and path, fits no rule, and is judged by the
-    trees like any other. Repeated rows are all kept. Without labelled rows the trees' score is 0.5.
+    ``labelled``: url, label (1: block); default: the verdicts of ``rules`` on the pages that they
+    cover. Other columns are ignored. A null url or one without ``://`` has an empty host and path,
+    fits no rule, and is judged by the trees like any other; very long ones are too. Repeated rows are
+    all kept. Without labelled rows the trees' score is 0.5. No rows give no verdicts.
     """
     parts = with_parts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")))
-    suffixes = suffix_statistics(parts)
-    rows = with_features(parts, suffixes)
+    path, n = path or scratch(pages.sparkSession), parts.count()
+    suffixes, folders = stored(rates(parts, _suffix(), "suffix", n), f"{path}/suffixes"), stored(rates(parts, _folder(), "folder", n), f"{path}/folders")
     if labelled is None:
-        train = rows.withColumn("label", seed_label())
+        known = parts.withColumn("label", (rule_column(rules)["verdict"] == "block").cast("int")).drop("page_id")
     else:
-        train = with_features(with_parts(labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label"))), suffixes)
-    model = fit(train, sample)
+        known = with_parts(labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")))
+    model = fit(with_features(sampled(known.where("label is not null"), ["url"], sample), suffixes, folders))
     score = 1 / (1 + F.exp(-margin_column(model, FEATURES)))
-    hit = rows.withColumn("_rule", rule_column(rules)).withColumn("score", score)
+    hit = with_features(parts, suffixes, folders).withColumn("_rule", rule_column(rules)).withColumn("score", score)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return hit.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 
 def url_query(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """``judge`` over all of ``pages``, by the contract's rules."""
     return judge(pages)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored, tidy
 
 END = b"\r\n\r\n"
 #: Longest block of a record, of a chunk in its framing, and the number of records in a file.
@@ -62,9 +62,13 @@ def _line(value: str | None) -> bytes:
     return re.sub(r"[\r\n]+", " ", value or "").encode()
 
 
-def records(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, segment: int = SEGMENT) -> list[bytes]:
-    """The record of a page and its continuations, each without the END that follows it."""
-    uri = b"<urn:x-page:%b:%d>" % (b"" if page_id is None else b"%d" % page_id, row)
+def _record_id(page_id: int | None, row: int) -> bytes:
+    return b"<urn:x-page:%b:%d>" % (b"" if page_id is None else b"%d" % page_id, row)
+
+
+def records(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers_to: bytes, segment: int = SEGMENT) -> list[bytes]:
+    """The record of a page and its continuations, each without the END that follows it. ``refers_to``: id of the record that a revisit refers to, else empty."""
+    uri, revisit = _record_id(page_id, row), bool(refers_to)
     block = _OK + (b"" if revisit else chunked(payload))
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     out = []
@@ -75,7 +79,7 @@ def records(page_id: int | None, row: int, url: str | None, payload: bytes, dige
         if not i:
             head += [b"WARC-Payload-Digest: sha1:" + digest.encode(), b"Content-Type: application/http; msgtype=response", b"WARC-Identified-Payload-Length: %d" % len(payload)]
         if revisit:
-            head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:x-page:%d>" % refers_to]
+            head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + refers_to]
         if len(parts) > 1:
             head.append(b"WARC-Segment-Number: %d" % (i + 1))
             if i:
@@ -88,31 +92,33 @@ def records(page_id: int | None, row: int, url: str | None, payload: bytes, dige
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT, per_file: int = RECORDS) -> None:
-    """Write ``pages`` (page_id, url, html; other columns are ignored) as gzipped WARC files in ``path``.
+    """Write ``pages`` (page_id, url, html; other columns are ignored) as WARC files in ``path``, each one gzip member.
 
-    A null html is an empty payload. Of equal payloads of ``least`` bytes or more, the one with the
+    A null html is an empty payload; a very long one, of up to the two gigabytes of a row, is many segments. Of equal payloads of ``least`` bytes or more, the one with the
     largest page_id is a response and the others refer to it; rows that share that page_id are all
     responses, as are payloads without any page_id. An empty table gives no records.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    copies = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    known = rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.octet_length("payload") >= least, F.col("kept")).alias("kept"))
-    known = known.withColumn("row", F.monotonically_increasing_id())
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("row", F.monotonically_increasing_id())
+    # Stored, so that a row has one number wherever it is named, and is digested once.
+    rows = stored(rows, f"{scratch(pages.sparkSession)}/rows")
+    copies = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    kept = F.when(F.octet_length("payload") >= least, F.col("kept"))
+    known = rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", kept["page_id"].alias("kept"), "row", kept["row"].alias("kept_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
-            for page_id, url, data, digest, kept, row in zip(*(b.column(i) for i in range(6)), strict=True):
+            for page_id, url, data, digest, kept, row, kept_row in zip(*(b.column(i) for i in range(7)), strict=True):
                 i, k = page_id.as_py(), kept.as_py()
-                out += records(i, row.as_py(), url.as_py(), data.as_py(), digest.as_py(), k, k is not None and i != k, segment)
+                out += records(i, row.as_py(), url.as_py(), data.as_py(), digest.as_py(), b"" if k is None or i == k else _record_id(k, kept_row.as_py()), segment)
                 size += len(out[-1])
                 if size > 1 << 24:
                     yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
                     out, size = [], 0
             yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
-    written = known.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    written = known.mapInArrow(tidy(run), "record binary").select(F.col("record").cast("string").alias("value"))
     written.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -154,7 +160,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: dict[str, list] = {k: [] for k in _SEGMENT.names}
             for head, block in parse_archive(content.as_py()):
                 get = head.get
-                refers = re.fullmatch(rb"<urn:x-page:(-?\d+)>", get(b"warc-refers-to", b""))
+                refers = _URI.fullmatch(get(b"warc-refers-to", b""))
                 whole = {"origin": get(b"warc-segment-origin-id", get(b"warc-record-id")), "number": int(get(b"warc-segment-number", b"0")), "total": int(t) if (t := get(b"warc-segment-total-length")) else None, "type": get(b"warc-type").decode(), "url": get(b"warc-target-uri", b"").decode(), "digest": get(b"warc-payload-digest", b"").decode().removeprefix("sha1:"), "length": int(get(b"warc-identified-payload-length", b"0")), "refers_to": int(refers[1]) if refers else None, "block": block}
                 for k, v in whole.items():
                     rows[k].append(v)
@@ -170,13 +176,15 @@ def _payload(origin: bytes, kind: str, block: bytes, digest: str) -> bytes:
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole blocks (origin, type, url, digest, length, refers_to, block) to pages."""
+    """Segments in order (origin, type, url, digest, length, refers_to, blocks, total) to pages. A null total is that of a record that isn't segmented."""
     for b in batches:
         rows: dict[str, list] = {k: [] for k in _PAGE.names}
-        for origin, kind, url, digest, length, refers_to, block in zip(*(b.column(i) for i in range(7)), strict=True):
-            o = origin.as_py()
+        for origin, kind, url, digest, length, refers_to, blocks, total in zip(*(b.column(i) for i in range(8)), strict=True):
+            o, block = origin.as_py(), b"".join(memoryview(x.as_buffer()) for x in blocks.values)
+            if total.is_valid and total.as_py() != len(block):
+                raise ValueError(f"{o!r}: segments don't have their total length")
             page_id = m[1] if (m := _URI.fullmatch(o)) else b""
-            data = _payload(o, kind.as_py(), block.as_py(), digest.as_py())
+            data = _payload(o, kind.as_py(), block, digest.as_py())
             size = length.as_py() if kind.as_py() == "revisit" else len(data)
             for k, v in zip(_PAGE.names, (int(page_id) if page_id else None, url.as_py(), data, size, digest.as_py(), kind.as_py(), refers_to.as_py()), strict=True):
                 rows[k].append(v)
@@ -191,18 +199,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     one; its payload_bytes is the length that its record states.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    segments = files.mapInArrow(_segments, _SEGMENT_DDL)
-    alone = segments.where("number = 0").select("origin", "type", "url", "digest", "length", "refers_to", "block")
+    segments = files.mapInArrow(tidy(_segments), _SEGMENT_DDL)
+    alone = segments.where("number = 0").select("origin", "type", "url", "digest", "length", "refers_to", F.array("block").alias("blocks"), F.lit(None).cast("long").alias("total"))
     part = F.struct("number", "total", "type", "url", "digest", "length", "refers_to", "block")
     grouped = segments.where("number > 0").groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     first, last, n = F.col("parts")[0], F.element_at("parts", -1), F.size("parts")
     numbers = F.transform("parts", lambda p: p["number"])
-    block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["block"]))
     right = (first["number"] == 1) & (numbers == F.sequence(F.lit(1), n)) & last["total"].isNotNull()
-    joined = grouped.select("origin", first["type"].alias("type"), first["url"].alias("url"), first["digest"].alias("digest"), first["length"].alias("length"), first["refers_to"].alias("refers_to"), F.when(right, block).otherwise(F.raise_error(F.lit("a segment is missing")).cast("binary")).alias("block"), last["total"].alias("total"))
-    checked = F.when(F.octet_length("block") == F.col("total"), F.col("block")).otherwise(F.raise_error(F.lit("segments don't have their total length")).cast("binary"))
-    whole = alone.unionByName(joined.select("origin", "type", "url", "digest", "length", "refers_to", checked.alias("block")))
-    return whole.mapInArrow(_pages, _PAGE_DDL)
+    blocks = F.when(right, F.transform("parts", lambda p: p["block"])).otherwise(F.raise_error(F.lit("a segment is missing")).cast("array<binary>"))
+    joined = grouped.select("origin", *(first[k].alias(k) for k in ("type", "url", "digest", "length", "refers_to")), blocks.alias("blocks"), last["total"].alias("total"))
+    whole = alone.unionByName(joined)
+    return whole.mapInArrow(tidy(_pages), _PAGE_DDL)
 
 
 def resolve_revisits(read: DataFrame) -> DataFrame:

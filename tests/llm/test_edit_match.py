@@ -1,6 +1,7 @@
 """Matches against a plain dynamic programme over every item and document."""
 
 import random
+import re
 
 import pytest
 
@@ -67,7 +68,12 @@ def test_equals_plain_over_all_pairs(spark, planted, block):
         n = em.normal(t)
         for j, x in items:
             x = em.normal(x)
-            if len(x) >= em.SHORTEST and len(n) < 3000 and (d := plain_best(x, n)) <= em.budget(len(x)):
+            if not x:
+                continue
+            if len(x) < em.SHORTEST:
+                if len(n) < 3000 and re.search(rf"(?<!\w){re.escape(x)}(?!\w)", n):
+                    want.append((str(i), j, 0))
+            elif len(n) < 3000 and (d := plain_best(x, n)) <= em.budget(len(x)):
                 want.append((str(i), j, d))
     assert sorted((str(r["doc_id"]), r["item_id"], r["distance"]) for r in got if r["doc_id"] not in (403, 405)) == sorted(want)
     assert {(r["item_id"], r["distance"]) for r in got if r["doc_id"] == 403} >= {(items[0][0], 0), (items[0][0] + 1000, 0)}
@@ -78,6 +84,25 @@ def test_equals_plain_over_all_pairs(spark, planted, block):
     assert left.columns == frame.columns and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, _ in docs if str(i) not in found)
 
 
+def test_short_items_are_matched_whole(spark):
+    items = spark.createDataFrame([(1, "Tea Pot"), (2, "x"), (3, "  "), (4, "#tag!")], "item_id long, text string")
+    texts = ["a tea\npot.", "steapot tea pots", "teapot", "(X)", "xx", "y#tag!y", "tag", "Tea pot tea pots"]
+    got = em.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == {(0, 1, 0), (3, 2, 0), (5, 4, 0), (7, 1, 0)}
+
+
+def test_a_worker_makes_a_matcher_once(spark):
+    from pyspark import cloudpickle
+
+    one = cloudpickle.loads(cloudpickle.dumps(em._matcher))
+    items = [(1, "some text of an item that is long enough")]
+    assert one("k", items, em.RATE, em.PIECE, em.SHORTEST) is em._matcher("k", items, em.RATE, em.PIECE, em.SHORTEST)
+
+
+def test_the_rate_is_never_lowered():
+    assert all(em.budget(n) == int(n * em.RATE) for n in range(em.SHORTEST, 5000))
+
+
 def test_no_rows(spark, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a passage that is long enough to be evidence of a leak")], "item_id long, text string")

@@ -1,6 +1,7 @@
 """Statistics against a plain version, rules against their columns, scores against held-out labels."""
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -35,6 +36,34 @@ def test_statistics(spark):
     assert tuple(r[1])[1:] == tuple(r[2])[1:] and r[4]["repeated_words"] == pytest.approx(1, abs=1e-4)
 
 
+def plain_statistics(text):
+    text = text or ""
+    words, lines, chars = re.findall(r"[^ \t\n\x0b\f\r]+", text), text.split("\n"), max(len(text), 1)
+    n = max(len(words), 1)
+    again, i = 0, 0
+    while i + 1 < len(words):
+        again += words[i] == words[i + 1]
+        i += 1
+    marks = sum(not (unicodedata.category(c)[0] in "LN" or c in " \t\n\x0b\f\r" or c in ".,;:?!|'\"()-") for c in text)
+    return [
+        len(words), len(text) / n, sum(unicodedata.category(c) == "Lu" for c in text) / chars, text.count("!") / n, len(re.findall(r"[*%&#$@^~=]{3}", text)) / n, text.count("|") / n, sum(c in "0123456789" for c in text) / chars,
+        sum(c in ".,;:?" for c in text) / n, again / n, 1 - len(set(lines)) / len(lines), len(words) / len(lines), marks / chars,
+    ]
+
+
+def test_scores_equal_rules_on_plain_statistics(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(re_, "fit", lambda x, y, fit=re_.fit: fitted.append(fit(x, y)) or fitted[-1])
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents")
+    got = {r["doc_id"]: r["score"] for r in re_.score_documents(docs, table(spark, d, "labels")).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    want = fitted[0].score(np.array([plain_statistics(r["text"]) for r in rows]))
+    assert fitted[0].rules
+    # A statistic that lies on a cut may fall on either side by rounding; none does here.
+    assert np.allclose([got[r["doc_id"]] for r in rows], want)
+
+
 def test_columns_equal_the_model(spark):
     rng = np.random.default_rng(1)
     x = rng.random((800, 3))

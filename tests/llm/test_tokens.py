@@ -1,5 +1,7 @@
 """Token store and curve packing against the library's whole encoder."""
 
+import glob
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -41,6 +43,32 @@ def test_store_equals_library(spark, odd_docs, sf, lib, which, tmp_path):
     assert whole == {(i, s): c for i, s, _, c in got}
 
 
+@pytest.mark.parametrize("lost", ["recipes", "chunks", "manifest"])
+def test_a_lost_part_is_seen(spark, tmp_path, lost):
+    """A whole file of any of the three tables is gone; the rows of what is left agree with each other."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (3 + i)) for i in range(40)], "doc_id long, text string").repartition(5)
+    path = f"file://{tmp_path}/s"
+    token_store.write_store(docs, path)
+    assert token_store.read_store(spark, path).count() == 40
+    files = sorted(glob.glob(f"{tmp_path}/s/{lost}/*.parquet"), key=os.path.getsize)
+    os.remove(files[-1])
+    with pytest.raises(Exception, match="manifest|missing|Unable to infer|UNABLE_TO_INFER"):
+        token_store.read_store(spark, path).collect()
+
+
+def test_manifest_is_a_merkle_tree_in_order(spark, tmp_path):
+    token_store.write_store(spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string").repartition(3), f"file://{tmp_path}/s")
+    recipes = spark.read.parquet(f"file://{tmp_path}/s/recipes").orderBy("start").collect()
+    rows = {r["part"]: r for r in spark.read.parquet(f"file://{tmp_path}/s/manifest").collect()}
+    roots = []
+    for part in sorted({r["part"] for r in recipes}):
+        own = [bytes(r["root"]) for r in recipes if r["part"] == part]
+        roots.append(token_store.merkle_root(own))
+        assert bytes(rows[part]["root"]) == roots[-1] and rows[part]["n_docs"] == len(own)
+        assert len(own) < 2 or token_store.merkle_root(own[::-1]) != roots[-1]
+    assert bytes(rows[-1]["root"]) == token_store.merkle_root(roots) and rows[-1]["n_docs"] == 30 and len(rows) == 1 + len(roots)
+
+
 def test_store_keeps_a_chunk_once_and_sees_damage(spark, tmp_path):
     text = " ".join(f"w{i % 977} x{i}" for i in range(4000))
     path = f"file://{tmp_path}/s"

@@ -39,6 +39,10 @@ def test_segments_and_revisits(spark, tmp_path, segment):
     assert len(glob.glob(f"{tmp_path}/w/*.gz")) > 2
     read = warc.read_archives(spark, path)
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in read.collect()), key=str) == plain(PAGES)
+    heads = [h for f in glob.glob(f"{tmp_path}/w/*.gz") for h, _ in warc.parse_archive(open(f, "rb").read())]
+    ids = {h[b"warc-record-id"]: h for h in heads}
+    refers = [h for h in heads if h[b"warc-type"] == b"revisit"]
+    assert len(refers) > 3 and all(ids[h[b"warc-refers-to"]][b"warc-payload-digest"] == h[b"warc-payload-digest"] and ids[h[b"warc-refers-to"]][b"warc-type"] == b"response" for h in refers)
     whole = sorted(((r["page_id"], bytes(r["payload"]).decode()) for r in warc.resolve_revisits(read).collect()), key=str)
     assert whole == sorted(((i, h or "") for i, _, h, _ in PAGES), key=str)
 
