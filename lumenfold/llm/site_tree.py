@@ -357,7 +357,7 @@ def host_column():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def node_statistics(pages: DataFrame) -> DataFrame:
+def node_statistics(pages: DataFrame, path: str | None = None) -> DataFrame:
     """host, node, parent, marked, pages, styles, own (entropy of styles), leaf (importance of contents), single: a row for each node that two pages of its host have, or that has a child of one page.
 
     ``pages``: host, html. Pages of a host with the same article (or equal ones, if they mark none)
@@ -374,6 +374,7 @@ def node_statistics(pages: DataFrame) -> DataFrame:
     wide = node.withColumn("e", entropy).groupBy("host", "node", "parent", "marked").agg(
         F.max(F.when(style, F.col("m"))).alias("pages"), F.max(F.when(style, F.col("k"))).alias("styles"), F.max(F.when(style, F.col("e"))).alias("own"), F.max(F.when(content, F.col("e"))).alias("leaf")
     )
+    wide = stored(wide, f"{path or scratch(pages.sparkSession)}/nodes")  # read twice below; pages are parsed once
     several, alone = F.col("pages") >= 2, (F.coalesce("pages", F.lit(1)) < 2) & (F.col("node") != 0)
     own = wide.where(several).withColumn("single", F.lit(0).cast("long"))
     kids = wide.where(alone).groupBy("host", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_single"))
@@ -442,7 +443,7 @@ def extract(pages: DataFrame, path: str | None = None, threshold: float = THRESH
     """
     path = path or scratch(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_column().alias("host"), F.col("html").cast("string").alias("html"))
-    tables = stored(host_tables(node_statistics(rows), threshold, marked), f"{path}/hosts")
+    tables = stored(host_tables(node_statistics(rows, path), threshold, marked), f"{path}/hosts")
     return rows.join(tables, "host", "left").select("page_id", "url", "host", "html", "low").mapInArrow(tidy(_extract), "page_id long, url string, host string, text string, n_chars long")
 
 
