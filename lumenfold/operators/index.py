@@ -5,23 +5,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arabic as ar
 from ..functions.text import STOP_WORDS, stem, tokens, vector_terms
 
 
+def spread(passages: DataFrame) -> DataFrame:
+    """``passages`` over all cores, where a scan of few large row groups would leave most of them idle; else as they are.
+
+    Texts are cut into many times their number of rows, so moving the texts first is the cheap order.
+    """
+    cores = passages.sparkSession.sparkContext.defaultParallelism
+    return passages.repartition(cores) if passages.rdd.getNumPartitions() < cores else passages
+
+
 def vocabulary(passages: DataFrame) -> DataFrame:
     """(word, freq) over all tokens."""
-    return passages.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    return spread(passages.select("text")).select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def _once(value: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of ``value``, which is worked out once however often the step names it."""
+    return F.transform(F.array(value), step)[0]
+
+
+def _runs(terms: Column) -> Column:
+    """array<struct<term, tf>> of the distinct ``terms``: places in the sorted array where one differs from the one before."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        ends = lambda at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s) + 1))
+        return _once(starts, lambda at: F.zip_with(at, ends(at), lambda a, b: F.struct(F.element_at(s, a).alias("term"), (b - a).cast("long").alias("tf"))))
+
+    return _once(F.sort_array(terms), lambda s: F.when(F.size(s) > 0, counted(s)))
 
 
 def term_counts(passages: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """(row_idx, term, tf) of words and pairs of neighbours."""
-    return passages.select("row_idx", F.explode(vector_terms(F.col("text"), stop_words)).alias("term")).groupBy("row_idx", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(row_idx, term, tf) of words and pairs of neighbours. A passage is one row, so its terms are counted where they are: nothing is shuffled."""
+    return spread(passages.select("row_idx", "text")).select("row_idx", F.inline(_runs(vector_terms(F.col("text"), stop_words))))
 
 
 def inverse_frequency(counts: DataFrame, n_passages: int) -> DataFrame:
@@ -32,15 +58,23 @@ def inverse_frequency(counts: DataFrame, n_passages: int) -> DataFrame:
 def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """(row_idx, term, w): sublinear frequency times idf, each passage of unit length. Long form: nothing is ever dense."""
     raw = counts.join(idf.select("term", "idf"), "term").select("row_idx", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
-    # One passage's terms are few, so its length is summed where its rows are; no second pass.
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_idx")))
-    return raw.withColumn("norm", norm).select("row_idx", "term", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(0.0).alias("w"))
+    return scaled(raw, lengths(raw))
+
+
+def lengths(raw: DataFrame) -> DataFrame:
+    """(row_idx, norm) of (row_idx, term, raw); summed in each task before anything is shuffled."""
+    return raw.groupBy("row_idx").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+
+
+def scaled(raw: DataFrame, norms: DataFrame) -> DataFrame:
+    return raw.join(norms, "row_idx").select("row_idx", "term", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(0.0).alias("w"))
 
 
 def stem_postings(passages: DataFrame) -> DataFrame:
     """(row_idx, stem), distinct. Words are stemmed once each, not once for each passage."""
-    words = passages.select("row_idx", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    return words.select("row_idx", stem(F.col("word")).alias("stem")).distinct()
+    words = spread(passages.select("row_idx", "text")).select("row_idx", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    known = words.select("word").distinct().select("word", stem(F.col("word")).alias("stem"))
+    return words.join(known, "word").select("row_idx", "stem").distinct()
 
 
 def arabic_postings(passages: DataFrame) -> DataFrame:
@@ -71,9 +105,9 @@ def alignment(indexed: DataFrame, passages: DataFrame) -> DataFrame:
     return found.select((F.col("n_diff") == 0).alias("aligned"), text.alias("mismatch"))
 
 
-def _kept(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
-    """``df`` as a stored table, sorted by ``by`` if given, so that a filter on it reads few row groups."""
-    rows = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
+def _kept(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """``df`` as a stored table, sorted by ``by`` if given, so that a filter on it reads few row groups. A second column lets a frequent value of the first be divided."""
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
     rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -106,7 +140,12 @@ class PassageIndex:
         idf = inverse_frequency(counts, n)
         if path:
             idf = _kept(idf, f"{path}/idf", "term")
-        index = PassageIndex(passages, n, idf, weights(counts, idf), stem_postings(passages), stop_words=stop_words)
+            raw = counts.join(idf.select("term", "idf"), "term").select("row_idx", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
+            raw = _kept(raw, f"{path}/raw")  # both its sums and its rows are needed
+            weighed = scaled(raw, lengths(raw))
+        else:
+            weighed = weights(counts, idf)
+        index = PassageIndex(passages, n, idf, weighed, stem_postings(passages), stop_words=stop_words)
         if "arabic" in passages.columns:
             index.arabic = arabic_postings(passages)
         if vectors is not None:
@@ -120,12 +159,12 @@ class PassageIndex:
         return index.saved(path) if path else index
 
     def saved(self, path: str) -> PassageIndex:
-        def keep(df: DataFrame | None, name: str, by: str) -> DataFrame | None:
-            return None if df is None else _kept(df, f"{path}/{name}", by)
+        def keep(df: DataFrame | None, name: str, *by: str) -> DataFrame | None:
+            return None if df is None else _kept(df, f"{path}/{name}", *by)
 
         return PassageIndex(
-            keep(self.passages, "passages", "row_idx"), self.n_passages, self.idf, keep(self.weights, "weights", "term"), keep(self.stems, "stems", "stem"),
-            keep(self.arabic, "arabic", "form"), keep(self.vectors, "vectors", "row_idx"), self.problem, self.stop_words,
+            keep(self.passages, "passages", "row_idx"), self.n_passages, self.idf, keep(self.weights, "weights", "term", "row_idx"), keep(self.stems, "stems", "stem", "row_idx"),
+            keep(self.arabic, "arabic", "form", "row_idx"), keep(self.vectors, "vectors", "row_idx"), self.problem, self.stop_words,
         )
 
     def persisted(self) -> PassageIndex:

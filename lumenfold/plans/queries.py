@@ -117,6 +117,18 @@ def line_cleaning(spark, d):
     return p.select("page_id", F.size(latin).cast("long").alias("n_latin"), F.size(plain).cast("long").alias("n_plain"), F.md5(F.array_join(latin, "\n")).alias("latin_md5"))
 
 
+@query(
+    """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[A-Za-z]{2,}')) AS l FROM documents),
+       a AS (SELECT doc_id, regexp_replace(array_to_string(l, ' '), '\\[\\d+:\\d+\\]', '', 'g') AS t FROM l),
+       b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([A-Za-z])\\d{1,3}($|[\\s.,;:!?''‘’")\\]])', '\\1\\2', 'g'), '([A-Za-z])\\d{1,3}($|[\\s.,;:!?''‘’")\\]])', '\\1\\2', 'g') AS t FROM a),
+       c AS (SELECT doc_id, regexp_replace(trim(regexp_replace(t, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), ' ([.,;:!?])', '\\1', 'g') AS t FROM b)
+       SELECT doc_id, md5(trim(t, ' .')) AS cleaned_md5 FROM c"""
+)
+def cleaned_text(spark, d):
+    """Every document as one cleaned line."""
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.clean(F.col("text"))).alias("cleaned_md5"))
+
+
 _MARKED = [(1, "See [2:255] and [3:18], then [2:256]."), (2, "none here"), (3, "[114:6][1:1]"), (4, "[1:x] [12:] [7:7]"), (5, "")]
 _MARKED_SQL = ", ".join(f"({i}, {sql.text(t)})" for i, t in _MARKED)
 
@@ -161,9 +173,10 @@ def client_key(spark, d):
     return r.select("id", tx.client_key(f, p, 1).alias("one_hop"), tx.client_key(f, p, 2).alias("two_hops"), tx.client_key(f, p, 9).alias("many_hops"), tx.client_key(f, p, 0).alias("no_hops"))
 
 
-@query("SELECT item_id, regexp_replace(text, '(?i)\\bthe\\b', 'THAT', 'g') AS replaced FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+# A word's edge is stated here by letters, digits, marks and underscores of any script, which both engines tell alike.
+@query("SELECT item_id, regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}\\p{M}_])(?i:the)($|[^\\p{L}\\p{N}\\p{M}_])', '\\1THAT\\2', 'g'), '(^|[^\\p{L}\\p{N}\\p{M}_])(?i:the)($|[^\\p{L}\\p{N}\\p{M}_])', '\\1THAT\\2', 'g') AS replaced FROM benchmark")
 def word_replacement(spark, d):
-    b = table(spark, d, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    b = table(spark, d, "benchmark")
     return b.select("item_id", tx.replace_word(F.col("text"), "the", "THAT").alias("replaced"))
 
 
@@ -316,12 +329,12 @@ def has_commentary(spark, d):
     return search.with_commentary_flag(table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("ref")), known)
 
 
-_PROMPT = "'Verse [' || doc_id || ']: ' || left(text, 100) || chr(10) || chr(10) || 'Commentary:' || chr(10) || CASE WHEN text = '' THEN '(no commentary available)' WHEN length(text) > 12000 THEN left(text, 12000) || " + sql.text(tx.CUT_NOTE) + " ELSE text END || chr(10) || chr(10) || 'Reader''s original question: why'"
+_PROMPT = "'Verse [' || doc_id || ']: ' || text || chr(10) || chr(10) || 'Commentary:' || chr(10) || CASE WHEN text = '' THEN '(no commentary available)' WHEN length(text) > 12000 THEN left(text, 12000) || " + sql.text(tx.CUT_NOTE) + " ELSE text END || chr(10) || chr(10) || 'Reader''s original question: why'"
 
 
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS ref, {_PROMPT} AS prompt FROM documents")
 def explanation_prompts(spark, d):
-    p = corpus(spark, d).select("ref", F.left("text", F.lit(100)).alias("short"), F.col("text").alias("commentary")).withColumnRenamed("short", "text")
+    p = corpus(spark, d).select("ref", "text", F.col("text").alias("commentary"))
     return answer.explanation_prompts(p, "why")
 
 
@@ -358,9 +371,12 @@ def spelling_candidates(spark, d):
 
 @query()
 def interpreted_queries(spark, d):
-    qu = understand.QueryUnderstanding(spark, index.vocabulary(corpus(spark, d)).persist())
+    # Stored, not cached: each question reads it several times, and nothing is left in memory.
+    words, path = index.vocabulary(corpus(spark, d)), scratch(spark)
+    words.write.parquet(path)
+    qu = understand.QueryUnderstanding(spark, spark.read.schema(words.schema).parquet(path))
     rows = [qu.analyse(q) for q in ("thinng of moses", "zzzqqxyw", "the thing", "withh")]
-    return spark.createDataFrame([(i.original, i.effective, len(i.corrections), len(i.suggestions), i.needs_confirmation) for i in rows], "original string, effective string, n_corrections int, n_suggestions int, needs_confirmation boolean")
+    return spark.createDataFrame([(i.query, i.effective, len(i.replaced), len(i.choices), i.unclear) for i in rows], "original string, effective string, n_corrections int, n_suggestions int, needs_confirmation boolean")
 
 
 # Corpus building
@@ -415,9 +431,10 @@ def chapter_counts(spark, d):
 
 @query("SELECT ref, n FROM (SELECT conv_id || ':' || turn AS ref, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations) WHERE n BETWEEN 26 AND 50")
 def ref_order_page(spark, d):
-    """The second page of 25 passages in order of chapter and verse."""
-    page = verses(spark, d).orderBy("chapter", "verse").offset(25).limit(25).select("ref", "chapter", "verse")
-    return page.select("ref", (F.row_number().over(Window.partitionBy().orderBy("chapter", "verse")) + 25).cast("long").alias("n"))
+    """The second page of 25 passages in order of chapter and verse, from a corpus written in order and read again."""
+    path = scratch(spark)
+    src.write_passages(verses(spark, d).select("row_idx", "ref", "text", F.lit("").alias("commentary"), F.lit("").alias("arabic")), path)
+    return src.page(src.read_passages(spark, path), 2, 25).select("ref", "n")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS ref FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -458,27 +475,38 @@ def last_headers(spark, d):
     return etl.last_headers(table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("role").alias("header"), F.col("turn").alias("start")))
 
 
-@query("SELECT conv_id, turn, lead(turn, 1, 999) OVER w AS section_end, lag(turn, 1, 0) OVER w AS block_start FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query(
+    """WITH p AS (SELECT conv_id, turn, chr(10) || 'VERSES ' || turn || ' - ' || turn AS head, chr(10) || '[' || conv_id || ':' || turn || '] ' || translate(text, chr(10) || '[]', '   ') AS rest FROM conversations),
+       s AS (SELECT *, length('T') + coalesce(sum(length(head) + length(rest)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p)
+       SELECT conv_id AS position, substr(head, 2) AS header, CAST(pos AS INTEGER) AS head, CAST(pos + length(head) + 1 AS INTEGER) AS start,
+              CAST(lead(pos, 1, pos + length(head) + length(rest)) OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS stop, CAST(1 AS INTEGER) AS declared FROM s"""
+)
 def section_windows(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lead("turn", 1, 999).over(w).alias("section_end"), F.lag("turn", 1, 0).over(w).alias("block_start"))
+    """Where the parser has each section of a text begin and end: a header and a mark for each turn of a conversation."""
+    v = verses(spark, d)
+    head = F.concat(F.lit("\nVERSES "), F.col("verse"), F.lit(" - "), F.col("verse"))
+    rest = F.concat(F.lit("\n["), F.col("chapter"), F.lit(":"), F.col("verse"), F.lit("] "), F.translate("text", "\n[]", "   "))
+    parts = v.groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("verse", F.concat(head, rest).alias("t")))).alias("x"))
+    return etl.section_bounds(parts.select(F.col("chapter").cast("long").alias("position"), "chapter", F.concat(F.lit("T"), F.array_join("x.t", "")).alias("text")))
 
 
 @query("SELECT n_nationkey, n_name, coalesce(r_name, '') AS r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
 def chapter_names(spark, d):
     """Names of a small dimension by key, empty where it has none."""
     names = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    return table(spark, d, "nation").join(names, "n_regionkey", "left").select("n_nationkey", "n_name", F.coalesce("r_name", F.lit("")).alias("r_name"))
+    return src.with_names(table(spark, d, "nation"), names, "n_regionkey", "r_name").select("n_nationkey", "n_name", "r_name")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS ref, text AS commentary FROM documents WHERE doc_id = 17")
 def commentary_lookup(spark, d):
-    return corpus(spark, d).select("ref", F.col("text").alias("commentary")).where("ref = '17'")
+    path = scratch(spark)
+    src.CommentaryStore.build(corpus(spark, d).select("ref", F.col("text").alias("commentary")), path)
+    return src.CommentaryStore(spark, path).rows("17")
 
 
 @query("SELECT text AS ref, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_refs(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("text").alias("ref")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return src.duplicate_refs(table(spark, d, "documents").select(F.col("text").alias("ref")))
 
 
 @query()

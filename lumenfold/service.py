@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators.answer import Complete, explain
 from .operators.index import PassageIndex, vocabulary
 from .operators.search import Retriever, response_rows
+from .operators import understand
 from .operators.understand import QueryUnderstanding
 from .streaming.limiter import ASK_BUDGET, EXPLAIN_BUDGET, RateLimiter
 
@@ -80,11 +81,11 @@ class Service:
             self._spend("ask", client)
         meaning = self.understanding.analyse(question)
         searched, rows = question, self._rows(question, k, mode)
-        if not rows and not exact and meaning.changed:
+        if not rows and not exact and meaning.replaced:
             searched, rows = meaning.effective, self._rows(meaning.effective, k, mode)
-        if not rows and not exact and meaning.needs_confirmation:
-            return {"found": False, "needs_confirmation": True, "suggestions": meaning.suggestions, "interpretation": meaning.as_dict()}
-        return {"found": bool(rows), "count": len(rows), "source": self.source, "searched": searched, "interpretation": meaning.as_dict(), "results": rows}
+        if not rows and not exact and meaning.unclear:
+            return {"found": False, "needs_confirmation": True, "suggestions": meaning.choices, "interpretation": understand.response_of(meaning)}
+        return {"found": bool(rows), "count": len(rows), "source": self.source, "searched": searched, "interpretation": understand.response_of(meaning), "results": rows}
 
     def _rows(self, query: str, k: int, mode: str) -> list[dict]:
         hits = self.retriever.search(query, top_k=k, mode=mode)
@@ -99,7 +100,7 @@ class Service:
             raise Refused(404, "no such passage")
         if self.commentary is None:
             return row.withColumn("commentary", F.lit(""))
-        own = self.commentary.where(F.col("ref") == ref).groupBy("ref").agg(F.last("commentary").alias("commentary"))
+        own = self.commentary.where(F.col("ref") == ref).groupBy("ref").agg(F.max("commentary").alias("commentary"))
         return row.join(own, "ref", "left").withColumn("commentary", F.coalesce("commentary", F.lit("")))
 
     def commentary_of(self, ref: str) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,12 +13,16 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share, under ``spark.checkpoint.dir``.
+    """A new folder that the driver and all executors share, under ``spark.checkpoint.dir`` or the context's checkpoint folder.
 
-    Where that is unset (tests, a laptop), a folder of this machine takes its place and goes when the
-    process ends.
+    Where neither is set, a local master (tests, a laptop) gets a folder of this machine, which goes
+    when the process ends; on a cluster that would lose data, so it raises.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{_own_folder()}"
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{_own_folder()}"
     return f"{base.rstrip('/')}/lumenfold/{uuid.uuid4().hex}"
 
 

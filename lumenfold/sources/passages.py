@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,32 @@ def choose_corpus(full: str, sample: str, override: str | None = None, exists: C
 
 def write_passages(passages: DataFrame, path: str) -> None:
     """JSON lines in order of chapter and verse; other scripts are written as they are. The committer makes it appear whole or not at all."""
+    ordered(passages).drop("row_idx").write.mode("overwrite").json(path)
+
+
+def ordered(passages: DataFrame) -> DataFrame:
+    """In order of chapter and verse."""
+    at = ref_parts(F.col("ref"))
+    return passages.orderBy(at["chapter"], at["verse"], "ref")
+
+
+def page(passages: DataFrame, number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1) of ``size`` passages in order, with n, the place of each among all."""
+    own = ordered(passages).offset((number - 1) * size).limit(size)
     at = ref_parts(F.col("ref"))
-    passages.orderBy(at["chapter"], at["verse"], "ref").drop("row_idx").write.mode("overwrite").json(path)
+    place = F.row_number().over(Window.partitionBy().orderBy(at["chapter"], at["verse"], "ref"))  # of one page's rows
+    return own.withColumn("n", (place + (number - 1) * size).cast("long"))
+
+
+def with_names(rows: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with ``name`` of a dimension ``names`` (``key``, ``name``); empty where it has none. Of several names of a key the largest."""
+    once = names.groupBy(key).agg(F.max(name).alias(name))
+    return rows.join(once, key, "left").withColumn(name, F.coalesce(name, F.lit("")))
+
+
+def duplicate_refs(passages: DataFrame) -> DataFrame:
+    """(ref, n) of the refs that come more than once."""
+    return passages.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -138,8 +162,12 @@ class CommentaryStore:
         """Refs that have commentary."""
         return self.table.where(F.length("commentary") > 0).select("ref")
 
+    def rows(self, ref: str) -> DataFrame:
+        """(ref, commentary) of one ref."""
+        return self.table.where(F.col("ref") == ref)
+
     def get(self, ref: str) -> str:
-        row = self.table.where(F.col("ref") == ref).select("commentary").first()
+        row = self.rows(ref).select("commentary").first()
         return row["commentary"] if row else ""
 
     def has(self, ref: str) -> bool:
@@ -151,7 +179,7 @@ class CommentaryStore:
     @staticmethod
     def build(passages: DataFrame, path: str) -> dict[str, int]:
         """Write (ref, commentary); a ref that comes twice raises. Returns the numbers of rows and of rows with commentary."""
-        twice = passages.groupBy("ref").count().where("count > 1").first()
+        twice = duplicate_refs(passages).first()
         if twice:
             raise ValueError(f"ref {twice['ref']!r} is not unique")
         rows = passages.select("ref", F.coalesce("commentary", F.lit("")).alias("commentary"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -82,14 +83,16 @@ def limited_stream(requests: DataFrame, limit: int, window_seconds: float, forge
 
 
 class RateLimiter:
-    """The same for one process."""
+    """The same for one process; threads may share one."""
 
     def __init__(self, limit: int, window_seconds: float, clock: Callable[[], float] = time.monotonic):
         self.limit, self.window, self.clock, self.logs = limit, int(window_seconds * MICROS), clock, {}
+        self.lock = threading.Lock()
 
     def check(self, key: str) -> tuple[bool, int]:
-        now = int(self.clock() * MICROS)
-        out = admit(self.logs.setdefault(key, deque()), now, self.limit, self.window)
-        if len(self.logs) > SWEEP:
-            self.logs = {k: v for k, v in self.logs.items() if v and v[-1] >= now - self.window}
-        return out
+        with self.lock:
+            now = int(self.clock() * MICROS)
+            out = admit(self.logs.setdefault(key, deque()), now, self.limit, self.window)
+            if len(self.logs) > SWEEP:
+                self.logs = {k: v for k, v in self.logs.items() if v and v[-1] >= now - self.window}
+            return out

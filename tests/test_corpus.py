@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.functions import text as tx
 from lumenfold.operators import etl
 from lumenfold.sources import passages as src
 from lumenfold.streaming import limiter
@@ -155,3 +156,48 @@ def test_limiter_batch_and_stream_agree(spark, tmp_path):
     assert sorted(map(tuple, spark.table("lim").collect())) == batch and any(not r[2] for r in batch)
     assert all(r[2] for r in limiter.limited(df, 0, 12).collect())
     assert limiter.limited(df.where(F.lit(False)), 2, 12).count() == 0
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_cleaning_is_the_same_in_python_and_as_a_column(spark, keep):
+    texts = ["", "a1", "Word12 next [1:2] , end .", "one\n12\nTwo3[4:5]six 7\n ... \nThe end . .", " . . Some text3, here [9:9]; and 'quoted4' x12345 .", "ab\t\tcd \n99\nef[1:1]2 gh", "no marks: at all ! ?"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.clean(F.col("t"), keep).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [etl.clean_text(t, keep) for t in texts]
+
+
+def test_last_texts_and_pages(spark):
+    rows = spark.createDataFrame([(1, "1:1", "old"), (3, "1:1", "new"), (2, "1:1", "mid"), (4, "1:2", "x")], "position int, ref string, text string")
+    assert {tuple(r) for r in etl.last_texts(rows).collect()} == {("1:1", "new"), ("1:2", "x")}
+    many = spark.createDataFrame([(f"{c}:{v}", "t") for c in (2, 10, 1) for v in range(1, 12)], "ref string, text string")
+    assert [(r["ref"], r["n"]) for r in src.page(many, 2, 11).orderBy("n").collect()] == [(f"2:{v}", 11 + v) for v in range(1, 12)]
+    names = spark.createDataFrame([(1, "a"), (1, "b")], "k int, name string")
+    assert sorted(tuple(r) for r in src.with_names(spark.createDataFrame([(1,), (2,)], "k int"), names, "k", "name").collect()) == [(1, "b"), (2, "")]
+
+
+def test_limiter_is_safe_among_threads():
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lumenfold.streaming.limiter import RateLimiter
+
+    one = RateLimiter(50, 300, clock=lambda: 1.0)
+    with ThreadPoolExecutor(16) as pool:
+        allowed = sum(ok for ok, _ in pool.map(lambda _: one.check("k"), range(2000)))
+    assert allowed == 50
+
+
+def test_package_exports():
+    import lumenfold
+
+    assert all(getattr(lumenfold, n) is not None for n in lumenfold.__all__)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lumenfold.session import scratch
+
+    conf = SimpleNamespace(get=lambda k: None)
+    context = lambda master, folder=None: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: folder))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch(context("spark://m:7077"))
+    assert scratch(context("yarn", "hdfs:///c")).startswith("hdfs:///c/") and scratch(context("local[4]")).startswith("file://")

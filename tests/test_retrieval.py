@@ -121,15 +121,16 @@ def test_typos(understanding):
 
 def test_aliases(understanding):
     reach = {"moses": "musa", "abraham": "ibrahim", "jesus": "isa", "mary": "maryam", "joseph": "yusuf", "david": "dawood", "aaron": "haroun", "prayer": "salat"}
-    got = dict(understanding.analyse(" ".join(reach)).expanded)
+    got = {w.term: w.also for w in understanding.analyse(" ".join(reach)).words}
     assert all(want in got[typed] for typed, want in reach.items())
 
 
 def test_right_and_unknown_words_stay(understanding):
     got = understanding.analyse("patience mercy forgiveness musa zzzqqxyw the")
-    assert got.corrections == [] and got.effective == got.original and not got.needs_confirmation and not got.changed
+    assert got.replaced == [] and got.effective == got.query and not got.unclear
+    assert understand.response_of(got)["original"] == got.query and understand.response_of(got)["corrections"] == []
 
 
 def test_ambiguity_asks(spark):
     got = understand.QueryUnderstanding(spark, {"bear": 10, "bead": 10, "beat": 10}).analyse("beax")
-    assert got.needs_confirmation and len(got.suggestions) >= 2 and got.corrections == [] and got.as_dict()["needs_confirmation"]
+    assert got.unclear and len(got.choices) >= 2 and got.replaced == [] and understand.response_of(got)["needs_confirmation"]
