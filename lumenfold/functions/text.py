@@ -42,6 +42,12 @@ COMMENTARY_BUDGET = 12_000
 CUT_NOTE = "\n\n[commentary truncated for length]"
 
 
+def stop_words_from(path: str) -> list[str]:
+    """A stop-word list from a text file, words divided by white space: for a corpus that needs another list than the default."""
+    with open(path, encoding="utf-8") as f:
+        return sorted(set(f.read().lower().split()))
+
+
 def tokens(text: Column) -> Column:
     """Words of letters and apostrophes, lower-cased, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))

@@ -509,7 +509,12 @@ def duplicate_refs(spark, d):
     return src.duplicate_refs(table(spark, d, "documents").select(F.col("text").alias("ref")))
 
 
-@query()
+@query(
+    """WITH v AS (SELECT conv_id AS c, turn AS v, translate(text, chr(10) || '[]', '   ') AS t FROM conversations),
+       h AS (SELECT c, 'VERSES ' || min(v) || ' - ' || max(v) AS header FROM v GROUP BY c),
+       x AS (SELECT c, v, trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(t, '([A-Za-z])\\d{1,3}($|[\\s.,;:!?''‘’")\\]])', '\\1\\2', 'g'), '([A-Za-z])\\d{1,3}($|[\\s.,;:!?''‘’")\\]])', '\\1\\2', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), ' ([.,;:!?])', '\\1', 'g'), ' .') AS text FROM v)
+       SELECT c AS position, CAST(c AS INTEGER) AS chapter, CAST(v AS INTEGER) AS verse, c || ':' || v AS ref, text, 'Commentary on all of it' AS commentary, header FROM x JOIN h USING (c)"""
+)
 def parsed_sections(spark, d):
     """Verses of texts made of the conversations: a header and marks for each chapter."""
     v = verses(spark, d)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -109,6 +110,40 @@ def page_texts(content: bytes) -> list[str | None]:
     return list(content.decode("utf-8", "replace").split("\f"))
 
 
+class _PageText(HTMLParser):
+    """Text of an HTML page: a line for each block, without scripts and styles."""
+
+    BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+    SILENT = frozenset(["script", "style", "template", "noscript"])
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out, self.quiet = [], 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.quiet += tag in self.SILENT
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.quiet = max(0, self.quiet - (tag in self.SILENT))
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.quiet:
+            self.out.append(data.replace("\n", " "))
+
+
+def html_texts(content: bytes) -> list[str | None]:
+    """The one page of an HTML file, for ``read_documents``. Other formats need an extractor of their own."""
+    page = _PageText()
+    page.feed(content.decode("utf-8", "replace"))
+    page.close()
+    lines = (" ".join(x.split()) for x in "".join(page.out).split("\n"))
+    return ["\n".join(x for x in lines if x)]
+
+
 # Embeddings
 
 

@@ -68,3 +68,38 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "1 passages" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["x", "--data", "y", "--all", "--compose"])
+
+
+def test_clients_shape_requests_and_put_replies_in_order():
+    from lumenfold.sources import clients
+
+    sent = []
+
+    def post(url, headers, body, seconds):
+        sent.append((url, headers, body, seconds))
+        if "input" in body:
+            return {"data": [{"index": i, "embedding": [i, len(t)]} for i, t in reversed(list(enumerate(body["input"])))]}
+        return {"choices": [{"message": {"content": " yes "}}]} if body["messages"][0]["role"] == "system" else {"content": [{"type": "text", "text": "a"}, {"type": "other"}, {"type": "text", "text": "b"}]}
+
+    at = clients.Endpoint(post, "https://service/x", "m", {"key": "k"})
+    assert clients.ChatCompletion(at)("be brief", "why") == "yes" and sent[-1][2]["messages"][1] == {"role": "user", "content": "why"} and sent[-1][3] == 60.0
+    assert clients.BlockCompletion(at)("s", "p", max_tokens=1200) == "ab" and sent[-1][2]["system"] == "s" and sent[-1][2]["max_tokens"] == 1200
+    assert clients.Embeddings(at)(["x", "yy", "zzz"]) == [[0.0, 1.0], [1.0, 2.0], [2.0, 3.0]]
+    assert clients.Embeddings(at, "query").one("abcd") == [0.0, 4.0] and sent[-1][2]["input_type"] == "query" and sent[-1][3] == 30.0 and sent[-1][:2] == ("https://service/x", {"key": "k"})
+    for bad in ({}, {"choices": []}, {"data": [{"index": 1, "embedding": [1]}]}):
+        broken = clients.Endpoint(lambda *_, bad=bad: bad, "u", "m")
+        with pytest.raises(clients.BadReply):
+            clients.ChatCompletion(broken)("s", "p")
+        with pytest.raises(clients.BadReply):
+            clients.Embeddings(broken)(["x"])
+
+
+def test_html_pages_and_stop_word_files(spark, tmp_path):
+    from lumenfold.functions.text import stop_words_from
+    from lumenfold.sources.passages import html_texts, read_documents
+
+    (tmp_path / "a.html").write_text("<html><head><style>p{}</style><script>x<1</script></head><body><h1>One &amp; two</h1><p>a\n b<br>c</p></body>")
+    assert html_texts((tmp_path / "a.html").read_bytes()) == ["One & two\na b\nc"]
+    assert read_documents(spark, f"file://{tmp_path}/a.html", html_texts).first()["text"] == "One & two\na b\nc"
+    (tmp_path / "stop.txt").write_text("The a\nOF the\n")
+    assert stop_words_from(str(tmp_path / "stop.txt")) == ["a", "of", "the"]
