@@ -75,14 +75,13 @@ def stem(word: Column) -> Column:
 
 def content_terms(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Tokens of a query that say something: three letters or more and no stop word."""
-    stop = F.array(*map(F.lit, stop_words))
-    return F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
+    return F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~t.isin(stop_words))
 
 
 def vector_terms(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Terms of the TF-IDF layer: words of two letters or more of any script without stop words, then pairs of neighbours."""
-    stop = F.array(*map(F.lit, stop_words))
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    # A long list of literals is looked up as a set.
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda t: ~t.isin(stop_words))
     return with_pairs(words)
 
 
@@ -112,8 +111,7 @@ def spelling_key(word: Column) -> Column:
 
 def content_bag(text: Column, stop_words: list[str] = AUDIT_STOP_WORDS) -> Column:
     """Distinct words of an alignment audit: over two letters, no stop words."""
-    stop = F.array(*map(F.lit, stop_words))
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(stop_words)))
 
 
 def overlap(a: Column, b: Column) -> Column:
