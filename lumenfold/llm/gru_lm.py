@@ -194,16 +194,21 @@ class Network:
         return out
 
     @staticmethod
-    def _exp(logits: np.ndarray) -> np.ndarray:
-        """exp of ``logits`` (rows x kinds) in place, scaled by row so that nothing overflows; returns the log of each row's sum."""
-        top = logits.max()
-        shifted = top > 30
-        if shifted:
+    def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        """exp of ``logits`` (rows x kinds) in place, scaled by row so that nothing overflows; returns each row's sum, and the log of its scale."""
+        top = 0.0
+        if logits.max() > 30:
             top = logits.max(1)
             logits -= top[:, None]
         np.exp(logits, out=logits)
-        total = logits @ np.ones(logits.shape[1], logits.dtype)
-        return np.log(total) + top if shifted else np.log(total)
+        return logits @ np.ones(logits.shape[1], logits.dtype), top
+
+    @staticmethod
+    def _back(e: np.ndarray, total: np.ndarray, own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of weights, biases and states (rows x units) from what ``_exp`` left and the targets ``own``. Rows are divided by their sums where they are narrow."""
+        e[np.arange(len(own)), own] -= total
+        share = 1 / (total * n)
+        return e.T @ (h * share[:, None]), share @ e, (e @ w) * share[:, None]
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log probabilities of target symbols after ``states`` (units x targets). With ``grads``: also adds gradients of their mean's negative, and of the states under "h"."""
@@ -218,14 +223,12 @@ class Network:
             h, own = hs[a : a + 4096], kind[a : a + 4096]
             e = h @ self.wc.T
             e += self.bc
-            total = self._exp(e)
-            out[a : a + 4096] -= total
+            total, top = self._exp(e)
+            out[a : a + 4096] -= np.log(total) + top
             if grads is not None:
-                e /= (e @ np.ones(e.shape[1], e.dtype))[:, None] * n
-                e[np.arange(len(own)), own] -= 1 / n
-                grads["wc"] += e.T @ h
-                grads["bc"] += e.sum(0)
-                dh[a : a + 4096] = e @ self.wc
+                dw, db, dh[a : a + 4096] = self._back(e, total, own, h, self.wc, n)
+                grads["wc"] += dw
+                grads["bc"] += db
         bounds = np.searchsorted(t, np.arange(CLASSES + 1) * CLASS)
         inside = bounds[-1]
         word = t[:inside] % CLASS
@@ -236,14 +239,13 @@ class Network:
                 h = hs[a:b]
                 e = h @ self.wv[c].T
                 e += self.bv[c]
-                total = self._exp(e)
-                out[a:b] -= total
+                total, top = self._exp(e)
+                out[a:b] -= np.log(total) + top
                 if grads is not None:
-                    e /= (e @ np.ones(CLASS, e.dtype))[:, None] * n
-                    e[np.arange(b - a), word[a:b]] -= 1 / n
-                    grads["wv"][c] += e.T @ h
-                    grads["bv"][c] += e.sum(0)
-                    dh[a:b] += e @ self.wv[c]
+                    dw, db, more = self._back(e, total, word[a:b], h, self.wv[c], n)
+                    grads["wv"][c] += dw
+                    grads["bv"][c] += db
+                    dh[a:b] += more
         back = np.empty_like(order)
         back[order] = np.arange(n)
         if grads is not None:
@@ -254,20 +256,21 @@ class Network:
         """One update over a window (steps x lanes); ``first`` marks inputs that begin a document and so a state of zeros."""
         steps, lanes = symbols.shape
         k, flat, live = self.hidden, symbols.ravel(), ~first
-        own = self.inputs[flat]
-        gx = (self.w @ own.T).reshape(3 * k, steps, lanes)
+        own = self.inputs[flat].reshape(steps, lanes, k)
+        # What a step reads and writes lies together.
+        gx = self.w @ own.transpose(0, 2, 1)
         tape: list = []
-        states = np.empty((k, steps, lanes), h.dtype)
+        states = np.empty((steps, lanes, k), h.dtype)
         for t in range(steps):
-            h = self.step(h * live[t], gx[:, t], tape)
-            states[:, t] = h
+            h = self.step(h * live[t], gx[t], tape)
+            states[t] = h.T
         grads = {name: np.zeros_like(getattr(self, name)) for name in _WEIGHTS}
-        loss = -self.log_likelihood(states.reshape(k, -1), targets.ravel(), grads).mean()
-        dout = np.ascontiguousarray(grads.pop("h")).reshape(k, steps, lanes)
-        dh, dx, du = np.zeros_like(h), np.empty_like(gx), np.empty_like(gx)
+        loss = -self.log_likelihood(states.reshape(-1, k).T, targets.ravel(), grads).mean()
+        dout = grads.pop("h").T.reshape(steps, lanes, k)
+        dh, dx, du = np.zeros_like(h), np.empty_like(gx), np.empty((3 * k, lanes), gx.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, n, g = tape[t]
-            d = dout[:, t] + dh
+            d = dout[t].T + dh
             rest = 1 - z
             dz = (before - n) * d
             dz *= z
@@ -277,17 +280,16 @@ class Network:
             dr = dn * g
             dr *= r
             dr *= 1 - r
-            dx[:k, t], dx[k : 2 * k, t], dx[2 * k :, t] = dz, dr, dn
-            du[:k, t], du[k : 2 * k, t], du[2 * k :, t] = dz, dr, dn * r
-            dh = self.u.T @ du[:, t]
+            dx[t, :k], dx[t, k : 2 * k], dx[t, 2 * k :] = dz, dr, dn
+            du[:k], du[k : 2 * k], du[2 * k :] = dz, dr, dn * r
+            grads["u"] += du @ before.T
+            grads["w"] += dx[t] @ own[t]
+            dh = self.u.T @ du
             dh += d * z
             dh *= live[t]
-        dx, du = dx.reshape(3 * k, -1), du.reshape(3 * k, -1)
-        grads["u"] += du @ np.stack([x[0] for x in tape], 1).reshape(k, -1).T
-        grads["w"] += dx @ own
         order = np.argsort(flat, kind="stable")
         at = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1])
-        grads["inputs"][flat[order][at]] += np.add.reduceat((dx.T @ self.w)[order], at, axis=0)
+        grads["inputs"][flat[order][at]] += np.add.reduceat((dx.transpose(0, 2, 1) @ self.w).reshape(-1, k)[order], at, axis=0)
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         self._adam(grads, rate / norm if norm > 1 else rate)
         return h, float(loss)
@@ -345,14 +347,15 @@ class Network:
             first &= on
             docs = at_doc[:live] + np.cumsum(first, 0)
             bounds = np.concatenate([[0], np.cumsum(on.sum(1))])
-            gx = self.w @ self.inputs[inputs[on]].T
-            states = np.empty((self.hidden, bounds[-1]), np.float32)
+            own = self.inputs[inputs[on]]
+            states = np.empty((bounds[-1], self.hidden), np.float32)
             keep = ~first
             for t in range(steps):
                 a, b = bounds[t], bounds[t + 1]
-                h = states[:, a:b] = self.step(h[:, : b - a] * keep[t, : b - a], gx[:, a:b])
+                h = self.step(h[:, : b - a] * keep[t, : b - a], self.w @ own[a:b].T)
+                states[a:b] = h.T
             before, at_doc = block[-1], docs[-1]
-            sums += np.bincount(docs[on], self.log_likelihood(states, block[on]), len(texts))
+            sums += np.bincount(docs[on], self.log_likelihood(states.T, block[on]), len(texts))
         out[names] = sums
         return out
 
