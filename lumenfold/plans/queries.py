@@ -142,7 +142,7 @@ def citations_extract(spark, d):
     return m.select("id", F.posexplode(tx.citations(F.col("t"))).alias("pos", "c")).select("id", "pos", "c.chapter", "c.verse")
 
 
-_ARABIC = ["ٱلْحَمْدُ لِلَّهِ رَبِّ ٱلْعَٰلَمِينَ", "ٱلرَّحْمَٰنِ ٱلرَّحِيمِ", "يَٰمُوسَىٰ", "بِٱلصَّبْرِ", "مؤمن آمن شيئة إلى", "plain", ""]
+_ARABIC = ["ٱلْحَمْدُ لِلَّهِ رَبِّ ٱلْعَٰلَمِينَ", "ٱلرَّحْمَٰنِ ٱلرَّحِيمِ", "يَٰمُوسَىٰ", "بِٱلصَّبْرِ", "مؤمن آمن شيئة إلى", "وَبِٱلْوَٰلِدَيْنِ إِحْسَٰنًا", "plain", ""]
 _ARABIC_SQL = ", ".join(f"({i}, {sql.text(t)})" for i, t in enumerate(_ARABIC))
 
 
@@ -152,8 +152,18 @@ def arabic_normalise(spark, d):
     return spark.createDataFrame(list(enumerate(_ARABIC)), "id long, t string").select("id", ar.normalized(t).alias("with_alef"), ar.normalized(t, False).alias("without_alef"))
 
 
-@query()
+# Twelve rounds over the four kinds of particles; then forms of over three letters also without a last alef.
+@query(
+    f"""WITH RECURSIVE r AS (SELECT id, unnest([{sql.arabic('t', ar.ALEF)}, {sql.arabic('t', '')}]) AS t FROM (VALUES {_ARABIC_SQL}) AS m(id, t)),
+        w AS (SELECT DISTINCT id, unnest(list_filter(string_split(t, ' '), lambda x: x <> '')) AS t FROM r),
+        p AS (SELECT id, t, 0 AS i FROM w UNION ALL
+              SELECT id, CASE WHEN i % 4 = 0 AND length(t) > 4 AND t[1:2] = 'يا' THEN t[3:] WHEN i % 4 = 1 AND length(t) > 3 AND t[1] IN ('و', 'ف') THEN t[2:]
+                              WHEN i % 4 = 2 AND length(t) > 3 AND t[1] IN ('ب', 'ك', 'ل') THEN t[2:] WHEN i % 4 = 3 AND length(t) > 3 AND t[1:2] = 'ال' THEN t[3:] ELSE t END, i + 1
+              FROM p WHERE i < 12)
+        SELECT CAST(id AS BIGINT) AS id, t AS form FROM p UNION SELECT CAST(id AS BIGINT), t[:-2] FROM p WHERE length(t) > 3 AND t[-1] = '{ar.ALEF}'"""
+)
 def arabic_variants(spark, d):
+    """Every form under which a passage's Arabic words are indexed."""
     return spark.createDataFrame(list(enumerate(_ARABIC)), "id long, t string").select("id", F.explode(ar.passage_forms(F.col("t"))).alias("form"))
 
 
