@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import session
 
-__all__ = ["TEXT_ROWS", "give_back", "in_files", "running_starts", "sampled", "scratch", "stored", "table", "tidy"]
+__all__ = ["TEXT_ROWS", "give_back", "in_files", "keep_memory", "running_starts", "sampled", "scratch", "stored", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,15 @@ def give_back() -> None:
         pass
 
 
+def keep_memory() -> None:
+    """From here on the C library keeps up to 64 MB that this process frees, if it can be asked: pages that go back to the system each time have to be cleared each time. ``give_back`` still returns them."""
+    try:
+        for what, size in ((-1, 64 << 20), (-3, 32 << 20)):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(what, size)
+    except (OSError, AttributeError):
+        pass
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function that gives memory back when its task ends: a Python worker lives on, beside the tasks of later stages."""
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, tidy
+from .common import keep_memory, scratch, stored, tidy
 
 #: Words of a class, number of classes (the network's vocabulary is their product, end included), hidden units.
 CLASS, CLASSES, HIDDEN = 128, 32, 24
@@ -36,6 +36,8 @@ FREQUENT = 131_072
 STEPS, WINDOW, LANES = 32, 64, 512
 #: Symbols of documents that are scored together; the batch that reaches it is the last.
 AT_ONCE = 6_000_000
+#: Rows of logits that are worked on together.
+ROWS = 1024
 #: Tenths of the training rows that each round deals out, each row in one; streams trained side by side; symbols that are laid out at once; rate of the first round.
 ROUNDS, TRAIN_LANES, BLOCK, RATE = (1, 2, 3, 4), 256, 1 << 20, 0.01
 TAILS = 4
@@ -172,143 +174,183 @@ class Network:
     def hidden(self) -> int:
         return self.u.shape[1]
 
-    def step(self, h: np.ndarray, gx: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """States (units x lanes) after one symbol of each lane; ``gx`` is w @ inputs of it."""
-        k = self.hidden
-        g = self.u @ h
+    def halved(self) -> tuple[np.ndarray, np.ndarray]:
+        """w and u as ``step`` takes them: with half of the rows of the sigmoid gates, since a sigmoid is a tanh of half its argument."""
+        half = np.where(np.arange(3 * self.hidden) < 2 * self.hidden, 0.5, 1).astype(self.u.dtype)[:, None]
+        return self.w * half, self.u * half
+
+    @staticmethod
+    def step(h: np.ndarray, gx: np.ndarray, u: np.ndarray, out: np.ndarray | None = None, tape: list | None = None) -> np.ndarray:
+        """States (units x lanes) after one symbol of each lane; ``gx`` is w @ inputs of it, w and ``u`` those of ``halved``."""
+        k = len(h)
+        g = u @ h
         zr = g[: 2 * k]
         zr += gx[: 2 * k]
-        zr *= 0.5
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        z, r = zr[:k], zr[k:]
-        n = r * g[2 * k :]
+        n = zr[k:] * g[2 * k :]
         n += gx[2 * k :]
         np.tanh(n, out=n)
         if tape is not None:
-            tape.append((h, z, r, n, g[2 * k :]))
-        out = h - n
-        out *= z
+            tape.append((zr, n, g[2 * k :]))
+        out = np.subtract(h, n, out=out)
+        out *= zr[:k]
         out += n
         return out
 
     @staticmethod
-    def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
-        """exp of ``logits`` (rows x kinds) in place, scaled by row so that nothing overflows; returns each row's sum, and the log of its scale."""
-        top = 0.0
-        if logits.max() > 30:
-            top = logits.max(1)
-            logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return logits @ np.ones(logits.shape[1], logits.dtype), top
+    def _softmax(h: np.ndarray, own: np.ndarray, spans: list[tuple[int, int, int]], w: np.ndarray, bias: np.ndarray, out: np.ndarray, n: int, grads: tuple | None) -> None:
+        """Adds to ``out`` the log of the softmax of w[c] @ row + bias[c] at kind ``own`` % kinds, for the rows of ``h`` in each span (start, end, c).
 
-    @staticmethod
-    def _back(e: np.ndarray, total: np.ndarray, own: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Gradients of weights, biases and states (rows x units) from what ``_exp`` left and the targets ``own``. Rows are divided by their sums where they are narrow."""
-        e[np.arange(len(own)), own] -= total
-        share = 1 / (total * n)
-        return e.T @ (h * share[:, None]), share @ e, (e @ w) * share[:, None]
+        Spans lie end to end; ``own`` counts the kinds of all c on. With ``grads``: also puts there
+        gradients of weights and biases, zero so far, and adds to those of states, a share of ``n`` each.
+        Spans go together through one buffer that stays in a core's cache. Biases aren't added to each
+        logit: exp of them scales the small factors of the products, unless they are too large for it.
+        """
+        kinds, k = w.shape[1:]
+        buffer, back = np.empty(ROWS * kinds, h.dtype), np.empty((ROWS, k), h.dtype)
+        wide = np.abs(bias).max() > 20
+        scale = np.ones_like(bias) if wide else np.exp(bias)
+        out += np.take(bias, own)
+        if grads is not None:
+            dw, db, dh = grads
+            scaled = w * scale[..., None]
+        groups: list[list[tuple[int, int, int]]] = []
+        for start, end, c in spans:
+            for a in range(start, end, ROWS):
+                b = min(a + ROWS, end)
+                if not groups or b - groups[-1][0][0] > ROWS:
+                    groups.append([])
+                groups[-1].append((a, b, c))
+        for group in groups:
+            a, b = group[0][0], group[-1][1]
+            flat, at = buffer[: (b - a) * kinds], np.arange(0, (b - a) * kinds, kinds) + own[a:b] % kinds
+            e, total = flat.reshape(b - a, kinds), np.empty(b - a, h.dtype)
+            for x, y, c in group:
+                np.matmul(h[x:y], w[c].T, out=e[x - a : y - a])
+                if wide:
+                    e[x - a : y - a] += bias[c]
+            mine = flat[at]
+            if wide:
+                mine -= np.take(bias, own[a:b])
+            out[a:b] += mine
+            if e.max() > 30:
+                top = e.max(1)
+                e -= top[:, None]
+                out[a:b] -= top
+            np.exp(e, out=e)
+            for x, y, c in group:
+                np.matmul(e[x - a : y - a], scale[c], out=total[x - a : y - a])
+            out[a:b] -= np.log(total)
+            if grads is None:
+                continue
+            flat[at] -= total / np.take(scale, own[a:b])
+            share = 1 / (total * n)
+            rows = h[a:b] * share[:, None]
+            for x, y, c in group:
+                x, y = x - a, y - a
+                dw[c] += e[x:y].T @ rows[x:y]
+                db[c] += share[x:y] @ e[x:y]
+                np.matmul(e[x:y], scaled[c], out=back[x:y])
+            dh[a:b] += back[: b - a] * share[:, None]
+        if grads is not None:
+            dw *= scale[..., None]
+            db *= scale
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray:
-        """Natural log probabilities of target symbols after ``states`` (units x targets). With ``grads``: also adds gradients of their mean's negative, and of the states under "h"."""
+        """Natural log probabilities of target symbols after ``states`` (units x targets). With ``grads``: also puts there the gradients of their mean's negative, those of the states as "h"."""
         n = len(targets)
-        order = np.argsort(targets.astype(np.int16 if VOCABULARY + TAILS < 1 << 15 else np.int64), kind="stable")
+        order = np.argsort(targets.astype(np.uint16 if VOCABULARY + TAILS <= 1 << 16 else np.int64), kind="stable")
         t = targets[order].astype(np.int64)
-        hs = np.take(states.T, order, axis=0)
         kind = np.where(t < VOCABULARY, t // CLASS, CLASSES + t - VOCABULARY)
-        out = np.einsum("ij,ij->i", hs, self.wc[kind]).astype(np.float64) + self.bc[kind]
-        dh = np.empty_like(hs) if grads is not None else None
-        for a in range(0, n, 4096):
-            h, own = hs[a : a + 4096], kind[a : a + 4096]
-            e = h @ self.wc.T
-            e += self.bc
-            total, top = self._exp(e)
-            out[a : a + 4096] -= np.log(total) + top
-            if grads is not None:
-                dw, db, dh[a : a + 4096] = self._back(e, total, own, h, self.wc, n)
-                grads["wc"] += dw
-                grads["bc"] += db
-        bounds = np.searchsorted(t, np.arange(CLASSES + 1) * CLASS)
-        inside = bounds[-1]
-        word = t[:inside] % CLASS
-        out[:inside] += np.einsum("ij,ij->i", hs[:inside], self.wv[kind[:inside], word]) + self.bv[kind[:inside], word]
-        for c in np.flatnonzero(np.diff(bounds)):
-            for a in range(bounds[c], bounds[c + 1], 4096):
-                b = min(a + 4096, bounds[c + 1])
-                h = hs[a:b]
-                e = h @ self.wv[c].T
-                e += self.bv[c]
-                total, top = self._exp(e)
-                out[a:b] -= np.log(total) + top
-                if grads is not None:
-                    dw, db, more = self._back(e, total, word[a:b], h, self.wv[c], n)
-                    grads["wv"][c] += dw
-                    grads["bv"][c] += db
-                    dh[a:b] += more
-        back = np.empty_like(order)
-        back[order] = np.arange(n)
+        h, out = np.take(states.T, order, axis=0), np.zeros(n)
+        bounds = np.searchsorted(t, np.arange(CLASSES + 1) * CLASS).tolist()
+        words = slice(0, bounds[-1])
+        spans = [(a, b, c) for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+        dc = dv = None
+        if grads is not None:
+            grads |= {name: np.zeros_like(getattr(self, name)) for name in ("wc", "bc", "wv", "bv")} | {"h": np.zeros_like(h)}
+            dc, dv = (grads["wc"][None], grads["bc"][None], grads["h"]), (grads["wv"], grads["bv"], grads["h"])
+        self._softmax(h, kind, [(0, n, 0)], self.wc[None], self.bc[None], out, n, dc)
+        self._softmax(h[words], t[words], spans, self.wv, self.bv, out[words], n, dv)
+        back = np.empty_like(out)
+        back[order] = out
         if grads is not None:
-            grads["h"] = dh[back].T
-        return out[back]
+            dh = np.empty_like(h)
+            dh[order] = grads["h"]
+            grads["h"] = dh.T
+        return back
 
     def train_window(self, h: np.ndarray, symbols: np.ndarray, targets: np.ndarray, first: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """One update over a window (steps x lanes); ``first`` marks inputs that begin a document and so a state of zeros."""
         steps, lanes = symbols.shape
-        k, flat, live = self.hidden, symbols.ravel(), ~first
-        own = self.inputs[flat].reshape(steps, lanes, k)
+        k, flat, begins = self.hidden, symbols.ravel(), [np.flatnonzero(f) for f in first]
+        own = np.take(self.inputs, flat, axis=0).reshape(steps, lanes, k)
         # What a step reads and writes lies together.
-        gx = self.w @ own.transpose(0, 2, 1)
+        w, u = self.halved()
+        gx = w @ own.transpose(0, 2, 1)
         tape: list = []
-        states = np.empty((steps, lanes, k), h.dtype)
+        hs, states = np.empty((steps + 1, k, lanes), h.dtype), np.empty((steps, lanes, k), h.dtype)
+        hs[0] = h
         for t in range(steps):
-            h = self.step(h * live[t], gx[t], tape)
-            states[t] = h.T
-        grads = {name: np.zeros_like(getattr(self, name)) for name in _WEIGHTS}
+            if len(begins[t]):
+                hs[t][:, begins[t]] = 0
+            states[t] = self.step(hs[t], gx[t], u, hs[t + 1], tape).T
+        grads: dict = {}
         loss = -self.log_likelihood(states.reshape(-1, k).T, targets.ravel(), grads).mean()
         dout = grads.pop("h").T.reshape(steps, lanes, k)
-        dh, dx, du = np.zeros_like(h), np.empty_like(gx), np.empty((3 * k, lanes), gx.dtype)
+        # By step: slopes of the candidate's part that the state has, of both gates, and of the candidate. The first three are those of u, the last three those of w.
+        slopes, turned = np.empty((steps, 4 * k, lanes), gx.dtype), np.concatenate([self.u[2 * k :], self.u[: 2 * k]]).T
+        dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, g = tape[t]
-            d = dout[t].T + dh
-            rest = 1 - z
-            dz = (before - n) * d
-            dz *= z
-            dz *= rest
-            dn = rest * d
-            dn *= 1 - n * n
-            dr = dn * g
-            dr *= r
-            dr *= 1 - r
-            dx[t, :k], dx[t, k : 2 * k], dx[t, 2 * k :] = dz, dr, dn
-            du[:k], du[k : 2 * k], du[2 * k :] = dz, dr, dn * r
-            grads["u"] += du @ before.T
-            grads["w"] += dx[t] @ own[t]
-            dh = self.u.T @ du
-            dh += d * z
-            dh *= live[t]
+            (zr, n, g), s = tape[t], slopes[t]
+            d = np.add(dh, dout[t].T, order="C")
+            rest = 1 - zr
+            dn = np.multiply(rest[:k], d, out=s[3 * k :])
+            bend = n * n
+            np.subtract(1, bend, out=bend)
+            dn *= bend
+            np.multiply(dn, zr[k:], out=s[:k])
+            np.multiply(dn, g, out=s[2 * k : 3 * k])
+            dz = np.subtract(hs[t], n, out=s[k : 2 * k])
+            dz *= d
+            rest *= zr
+            s[k : 3 * k] *= rest
+            dh = turned @ s[: 3 * k]
+            d *= zr[:k]
+            dh += d
+            if len(begins[t]):
+                dh[:, begins[t]] = 0
+        du, dx = (slopes[:, : 3 * k] @ hs[:-1].transpose(0, 2, 1)).sum(0), slopes[:, k:]
+        grads |= {"u": np.concatenate([du[k:], du[:k]]), "w": (dx @ own).sum(0), "inputs": np.zeros_like(self.inputs)}
         order = np.argsort(flat, kind="stable")
-        at = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1])
-        grads["inputs"][flat[order][at]] += np.add.reduceat((dx.transpose(0, 2, 1) @ self.w).reshape(-1, k)[order], at, axis=0)
+        ordered = flat[order]
+        at = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+        grads["inputs"][ordered[at]] = np.add.reduceat(np.take((dx.transpose(0, 2, 1) @ self.w).reshape(-1, k), order, axis=0), at, axis=0)
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         self._adam(grads, rate / norm if norm > 1 else rate)
-        return h, float(loss)
+        return hs[-1], float(loss)
 
     def _adam(self, grads: dict, rate: float) -> None:
         t = self.moments["t"] = self.moments.get("t", 0) + 1
         scale = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         for name, g in grads.items():
-            m, v = self.moments.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.99
-            g *= g
-            v += 0.01 * g
-            np.sqrt(v, out=g)
-            g += 1e-8
-            np.divide(m, g, out=g)
-            g *= scale
-            getattr(self, name)[...] -= g
+            # Ten times the mean of gradients, a hundred times that of their squares.
+            m, v = self.moments.setdefault(name, (np.zeros(g.size, g.dtype), np.zeros(g.size, g.dtype)))
+            g, own = g.reshape(-1), getattr(self, name).reshape(-1)
+            for a in range(0, g.size, 1 << 14):  # each piece stays in a core's cache
+                part, mean, square = g[a : a + (1 << 14)], m[a : a + (1 << 14)], v[a : a + (1 << 14)]
+                mean *= 0.9
+                mean += part
+                square *= 0.99
+                part *= part
+                square += part
+                np.sqrt(square, out=part)
+                part += 1e-7
+                np.divide(mean, part, out=part)
+                part *= scale
+                own[a : a + (1 << 14)] -= part
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each symbol stream, whose end is its only END: windows of steps, the state carried on.
@@ -335,6 +377,8 @@ class Network:
         at_doc = np.concatenate([[0], np.cumsum([len(dealt[i]) for i in order])[:-1]]) - 1  # the document that each lane is in
         streams = [np.concatenate([texts[j] for j in dealt[i]]) for i in order]
         h, before, sums = np.zeros((self.hidden, len(order)), np.float32), np.full(len(order), END), np.zeros(len(texts))
+        w, u = self.halved()
+        room = np.empty((2, WINDOW * len(order), self.hidden), np.float32)
         for at in range(0, int(sizes[0]), WINDOW):
             live, steps = int((sizes > at).sum()), min(WINDOW, int(sizes[0]) - at)
             block = np.zeros((steps, live), np.int32)
@@ -347,12 +391,14 @@ class Network:
             first &= on
             docs = at_doc[:live] + np.cumsum(first, 0)
             bounds = np.concatenate([[0], np.cumsum(on.sum(1))])
-            own = self.inputs[inputs[on]]
-            states = np.empty((bounds[-1], self.hidden), np.float32)
-            keep = ~first
+            own, states = room[:, : bounds[-1]]
+            np.take(self.inputs, inputs[on], axis=0, out=own, mode="clip")
             for t in range(steps):
                 a, b = bounds[t], bounds[t + 1]
-                h = self.step(h[:, : b - a] * keep[t, : b - a], self.w @ own[a:b].T)
+                h = h[:, : b - a]
+                if len(begins := np.flatnonzero(first[t])):
+                    h[:, begins] = 0
+                h = self.step(h, w @ own[a:b].T, u)
                 states[a:b] = h.T
             before, at_doc = block[-1], docs[-1]
             sums += np.bincount(docs[on], self.log_likelihood(states.T, block[on]), len(texts))
@@ -375,7 +421,7 @@ def learn(net: Network, streams: Iterator[np.ndarray], rate: float, lanes: int =
     def run(stream: np.ndarray, before: int, lanes: int) -> None:
         steps = len(stream) // lanes
         target = stream.reshape(lanes, steps).T
-        symbols = np.concatenate([[before], stream[:-1]]).reshape(lanes, steps).T
+        symbols = np.concatenate([np.array([before], stream.dtype), stream[:-1]]).reshape(lanes, steps).T
         first = symbols == END
         h = np.zeros((net.hidden, lanes), np.float32)
         for at in range(0, steps, STEPS):
@@ -430,6 +476,7 @@ def learn_rows(encoded: DataFrame, net: Network, path: str) -> int:
         shared = spark.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=RATE / (1 + i)) -> Iterator[pa.RecordBatch]:
+            keep_memory()
             own = Network(*(getattr(shared.value, k).copy() for k in _WEIGHTS))
             n = learn(own, _streams(batches), rate)
             if n:
@@ -498,6 +545,7 @@ def _encode(shared):
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         net = shared.value
 
         def flush(rows: list[pa.RecordBatch], streams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -537,7 +585,7 @@ def scored(counts: DataFrame, stats: Statistics, encoded: DataFrame, net: Networ
     shared = encoded.sparkSession.sparkContext.broadcast(net)
     streams = encoded.select("doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "tail", "symbols")
     rows = stored(streams.mapInArrow(tidy(_score(shared)), _SCORED_DDL), f"{path}/scored")
-    rare = encoded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times").join(counts, "word")
+    rare = encoded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times").join(counts.hint("shuffle_hash"), "word")  # neither side is sorted
     rare = rare.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_log"), F.sum("times").alias("_known"))
     more = F.coalesce("_log", F.lit(0.0))
     return rows.join(rare, "rid", "left").select(

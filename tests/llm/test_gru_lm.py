@@ -129,6 +129,41 @@ def test_large_logits_do_not_overflow():
     assert np.allclose(net.log_likelihood(h, t), [plain_law(net, h[:, i])[t[i]] for i in range(50)], rtol=1e-3, atol=1e-2)
 
 
+def test_biases_of_any_size():
+    """A bias that all kinds of a class share changes nothing, however large it is; gradients neither."""
+    net, rng = noisy(lm.Network.fresh(np.arange(lm.VOCABULARY)[::-1].astype(float), np.ones(4))), np.random.default_rng(3)
+    h, t = rng.normal(0, 1, (net.hidden, 3000)).astype(np.float32), rng.integers(0, lm.VOCABULARY + lm.TAILS, 3000)
+    small, large = {}, {}
+    want = net.log_likelihood(h, t, small)
+    net.bc += 100
+    net.bv[:20] -= 90
+    assert np.allclose(net.log_likelihood(h, t, large), want, atol=1e-3)
+    assert all(np.allclose(small[k], large[k], atol=1e-6) for k in ("wc", "bc", "wv", "bv", "h"))
+    net.bv[5, 7] -= 500
+    law = plain_law(net, h[:, 0])
+    assert np.allclose(net.log_likelihood(np.repeat(h[:, :1], len(law), 1), np.arange(len(law))), law, rtol=1e-4, atol=1e-3)
+
+
+def test_symbols_stay_short(monkeypatch):
+    """Windows are sorted by symbol, which for short integers takes a sixth of the time."""
+    net, kinds = lm.Network.fresh(np.ones(lm.VOCABULARY), np.ones(4)), set()
+    monkeypatch.setattr(net, "train_window", lambda h, symbols, targets, first, rate: (kinds.update((symbols.dtype, targets.dtype)), (h, 0.0))[1])
+    lm.learn(net, iter([np.array([1, 2, lm.END], np.uint16)] * 50), 0.1, 2)
+    assert kinds == {np.dtype(np.uint16)}
+
+
+def test_rare_words_meet_their_counts_unsorted(spark, odd_docs, tmp_path, monkeypatch):
+    """By hash, where Spark would sort every rare word and the whole table of counts."""
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = lm.scored(*lm.trained(odd_docs.select("doc_id", "text"), str(tmp_path)), str(tmp_path))
+        plan = scores._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"ShuffledHashJoin \[word", plan) and not re.search(r"SortMergeJoin \[word", plan)
+
+
 def test_gradients(monkeypatch):
     net = lm.Network.fresh(np.ones(lm.VOCABULARY), np.ones(4), hidden=5)
     for k in lm._WEIGHTS:
