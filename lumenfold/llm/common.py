@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import session
 
-__all__ = ["TEXT_ROWS", "give_back", "in_files", "keep_memory", "running_starts", "sampled", "scratch", "stored", "table", "tidy"]
+__all__ = ["TEXT_ROWS", "give_back", "in_few_files", "in_files", "keep_memory", "running_starts", "sampled", "scratch", "stored", "table", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,15 @@ def in_files(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
+def in_few_files(df: DataFrame, n: int, each: int = 50_000) -> DataFrame:
+    """``df`` dealt out to a partition for every ``each`` of ``n`` inputs, for rows that many tasks find a few of.
+
+    Unlike ``in_files`` this shuffles, so the tasks that find the rows stay as many. On a local disk
+    the JVM starts processes for each file that it writes, and just then these seem as large as itself.
+    """
+    return df.repartition(max(1, -(-n // each)))
+
+
 def give_back() -> None:
     """Free memory goes back to the system: Arrow's pool, and what the C library keeps, if it can be asked."""
     pa.default_memory_pool().release_unused()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_files, scratch, stored
+from .common import TEXT_ROWS, in_few_files, in_files, scratch, stored, tidy
 
 SEED = 42
 #: A group of equal signatures up to this size is compared directly; larger ones are cut again.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fp = np.array([fingerprint(shingle_hashes(t, size)) for t in b["text"]], np.uint64).astype(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(tidy(run), "doc_id long, fp long")
 
 
 def _segment(fp, s: int):
@@ -165,11 +165,11 @@ def fingerprint_links(fps: DataFrame, path: str, radius: int = 3) -> DataFrame:
         raise ValueError("two segments with one bit left out find up to three differing bits")
     # Fingerprints are a few bytes each, so they come in few partitions; their 66 signatures each need more.
     sigs = _signatures(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
-    key = ["slot", "sig"]
-    groups = stored(sigs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("side").alias("least"), F.max("side").alias("most")).where("n > 1 and (least < most or slot in (0, 33))"), f"{path}/groups")
+    key, n = ["slot", "sig"], fps.count()
+    groups = stored(in_few_files(sigs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("side").alias("least"), F.max("side").alias("most")).where("n > 1 and (least < most or slot in (0, 33))"), n), f"{path}/groups")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = groups.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(close)
-    larger = stored(sigs.join(groups.where("n > 2").select(*key, "n"), key).select(*key, "n", "fp"), f"{path}/members")
+    larger = stored(in_few_files(sigs.join(groups.where("n > 2").select(*key, "n"), key).select(*key, "n", "fp"), n), f"{path}/members")
     near = larger.where(F.col("n") <= DIRECT).groupBy(*key).applyInPandas(lambda pdf: _links_of(pdf, radius), "a long, b long")
     other = F.when(F.col("slot") < 33, _segment(F.col("fp"), 1)).otherwise(_segment(F.col("fp"), 0))
     deep = larger.where(F.col("n") > DIRECT).select(*key, "fp", F.explode(_halves(other)).alias("k")).select(*key, "k.h", "k.i", "k.v", "fp")
@@ -220,7 +220,7 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3, path: st
     doc_id keep a null id; their class takes the smallest id that it has, null if none.
     """
     path = path or scratch(docs.sparkSession)
-    prints = stored(fingerprints(docs, size), f"{path}/prints")
+    prints = stored(in_few_files(fingerprints(docs, size), docs.count()), f"{path}/prints", TEXT_ROWS)
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{path}/classes")
     links = stored(fingerprint_links(classes.select("fp"), path, radius), f"{path}/fplinks")
     found = components(links, path)

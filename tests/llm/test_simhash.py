@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from lumenfold.llm import simhash
-from lumenfold.llm.common import table
+from lumenfold.llm.common import in_few_files, table
 
 
 def plain_fingerprint(text, size=3):
@@ -98,5 +98,28 @@ def test_long_chain_settles(spark, tmp_path):
     assert len(got) == n and len({r["component"] for r in got}) == 1
 
 
+def test_small_tables_lie_in_few_files(spark, odd_docs, tmp_path, monkeypatch):
+    """However many tasks find the rows of a table; and a table of more rows gets more files."""
+    keys = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    files = lambda at, name: len(list((tmp_path / at / name).glob("*.parquet")))
+    words = [f"w{i}" for i in range(400)]
+    near = [(100 + i, " ".join([*words[: 9 * i], "other", *words[9 * i + 1 :]])) for i in range(40)]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string")).repartition(16)
+    got = {}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        for at, each in (("one", 50_000), ("more", 14)):
+            monkeypatch.setattr(simhash, "in_few_files", lambda df, n, each=each: in_few_files(df, n, each))
+            got[at] = sorted(map(str, simhash.simhash_components(docs, path=f"file://{tmp_path}/{at}").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [files("one", t) for t in ("prints", "groups", "members")] == [1, 1, 1]
+    assert files("more", "prints") == 4 and files("more", "members") > 1
+    assert len(got["one"]) == docs.count() and got["one"] == got["more"]
+
+
 def test_no_rows(no_docs):
     assert simhash.simhash_components(no_docs).count() == 0
